@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import category_sample, mixing, permanent_sample, repeated_events, splitting
+from loomline.llm import category_sample, leakage, mixing, permanent_sample, reading_level, repeated_events, split_overlap, splitting
 from loomline.sources import table
 
 
@@ -50,6 +50,22 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "paragraphs"), table(spark, d, "backbone_limits"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.found(table(spark, d, "paragraphs"), table(spark, d, "fold_splits"))
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.per_stream(table(spark, d, "paragraphs"), table(spark, d, "fold_splits"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -62,8 +78,20 @@ def p9_reached(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.for_specialists(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.profile_by_source(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p4_found, p4_pieces, p9_found, p9_mix, p9_reached)
+    f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p4_found, p4_pieces, p6_found, p6_counts, p8_found, p8_items, p9_found, p9_mix, p9_reached, p10_found, p10_levels, p10_sources)
 }
 
 ORACLE_SQL: dict[str, str] = {}
