@@ -50,10 +50,11 @@ def read_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raw = _json(spark, path, SCORES)
     shape = F.get_json_object("value", "$.scores[0].topk_accuracies")
     old = F.col("j.scores").isNull() | (shape.isNotNull() & ~F.startswith(F.ltrim(shape), F.lit("[")))
-    checked = F.when(old, F.raise_error(F.concat(F.lit("no scores in the shape expected: "), F.col("file"))).cast("string")).otherwise(F.col("j.split_name"))
-    rows = raw.select("file", checked.alias("split_name"), F.explode("j.scores").alias("s"))
-    # An older shape leaves nothing to explode into accuracies: the check above must still see the row.
-    return rows.select("file", "split_name", "s.paragraph_id", "s.label", F.explode_outer("s.topk_accuracies").alias("a"), "s.n_masked_total", "s.n_passes").select("file", "split_name", "paragraph_id", "label", "a.top_k", "a.accuracy", "n_masked_total", "n_passes")
+    # The check stands inside what is exploded: there no plan can leave it out.
+    scores = F.when(old, F.raise_error(F.concat(F.lit("no scores in the shape expected: "), F.col("file")))).otherwise(F.col("j.scores"))
+    rows = raw.select("file", "j.split_name", F.explode(scores).alias("s"))
+    each = rows.select("file", "split_name", "s.paragraph_id", "s.label", F.explode_outer("s.topk_accuracies").alias("a"), "s.n_masked_total", "s.n_passes")
+    return each.select("file", "split_name", "paragraph_id", "label", "a.top_k", "a.accuracy", "n_masked_total", "n_passes")
 
 
 def read_grids(spark: SparkSession, path: str | list[str]) -> DataFrame:
