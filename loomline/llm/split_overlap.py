@@ -139,27 +139,31 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_classes(classes: DataFrame, records: DataFrame) -> DataFrame:
     """(block, a, b), a < b: records of one block that share enough words and stand on opposite sides of some fold.
 
-    ``classes``: block, id, n, prefix, b0..b3, train, test (fold masks), one row per class of copies.
+    ``classes``: num, block, id, n, prefix, b0..b3, train, test (fold masks), one row per class of copies; num is any
+    number of its own. Words meet as one hash of block and word with that number alone; what else a pair needs is
+    joined once per pair. A collision of hashes only adds a candidate.
     """
-    words = classes.select("block", "id", "n", "train", "test", F.posexplode("prefix").alias("at", "word")).where("word <> 0")
-    a, b = (words.select("block", "word", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "train", "test"))) for s in "ab")
+    words = classes.select("num", "n", F.posexplode("prefix").alias("at", "word"), "block").where("word <> 0").select("num", "n", "at", F.xxhash64("block", "word").alias("key"))
+    a, b = (words.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("num", "n", "at"))) for s in "ab")
     need = lambda n: F.floor((n * SHARE[0] + SHARE[1] - 1) / SHARE[1])
     longer = F.greatest("n_a", "n_b")
     met = (
-        a.join(b, ["block", "word"])
-        .where(F.col("id_a") < F.col("id_b"))
-        .where(F.col("train_a").bitwiseAND(F.col("test_b")).bitwiseOR(F.col("test_a").bitwiseAND(F.col("train_b"))) != 0)
+        a.join(b, "key")
+        .where(F.col("num_a") < F.col("num_b"))
         .where(F.least("n_a", "n_b") * SHARE[1] >= longer * SHARE[0])
         # Where a pair meets first, no earlier word of either is shared: what is left must be enough.
         .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need(longer))
-        .select("block", "id_a", "id_b")
+        .select("num_a", "num_b")
         .distinct()
     )
-    bits = lambda s: classes.select("block", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "b0", "b1", "b2", "b3")))
-    lone = lambda x, y: sum((F.bit_count(F.col(f"b{i}_{x}").bitwiseAND(F.bitwise_not(F.col(f"b{i}_{y}")))) for i in range(1, 4)), F.bit_count(F.col(f"b0_{x}").bitwiseAND(F.bitwise_not(F.col(f"b0_{y}")))))
-    both = met.join(bits("a"), ["block", "id_a"]).join(bits("b"), ["block", "id_b"])
-    possible = both.where((F.col("n_a") - lone("a", "b") >= need(longer)) & (F.col("n_b") - lone("b", "a") >= need(longer)))
-    pairs = written(possible.select("block", F.col("id_a").alias("a"), F.col("id_b").alias("b")), "pairs")
+    own = ("block", "id", "n", "b0", "b1", "b2", "b3", "train", "test")
+    facts = lambda s: classes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("num", *own)))
+    both = met.join(facts("a"), "num_a").join(facts("b"), "num_b").where("block_a = block_b")
+    opposite = both.where("(train_a & test_b) | (test_a & train_b) <> 0")
+    # Each bit that only one side has is a word the other lacks.
+    lone = lambda x, y: " + ".join(f"bit_count(b{i}_{x} & ~b{i}_{y})" for i in range(4))
+    possible = opposite.where((F.col("n_a") - F.expr(lone("a", "b")) >= need(longer)) & (F.col("n_b") - F.expr(lone("b", "a")) >= need(longer)))
+    pairs = written(possible.select(F.col("block_a").alias("block"), F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = records.join(wanted, "id", "left_semi").select("id", "lines").dropDuplicates(["id"])
     full = pairs.join(texts.select(F.col("id").alias("b"), F.col("lines").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("lines").alias("x")), "a")
@@ -187,9 +191,10 @@ def overlaps(paragraphs: DataFrame, splits: DataFrame) -> DataFrame:
         F.bit_or("train").alias("train"),
         F.bit_or("test").alias("test"),
     )
-    near = written(near_classes(written(copies, "classes"), records), "near")
+    classes = written(copies.withColumn("num", F.monotonically_increasing_id()), "classes")
+    near = written(near_classes(classes, records), "near")
     # Every id with the class that stands for it; ids without words stand for themselves.
-    first = signed.groupBy("block", "class").agg(F.min("id").alias("of"))
+    first = classes.select("block", "class", F.col("id").alias("of"))
     standing = signed.select("block", "class", "id").join(first, ["block", "class"]).where("id <> of").select("block", "id", "of")
     placed = rows.join(standing, ["block", "id"], "left").withColumn("of", F.coalesce("of", "id"))
     train = placed.where("side = 'train'").select("block", "fold_id", F.col("of").alias("of_train"), F.col("id").alias("id_train"))
