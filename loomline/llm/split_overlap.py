@@ -26,6 +26,8 @@ from loomline.llm.common import written
 SHARE = (4, 5)
 SKETCH = 1 << 22
 _CHUNK = 4096
+#: Ids that are broadcast at most (about 20 MB).
+MAX_BROADCAST_IDS = 250_000
 _CACHE_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 TRAIN, TEST = ("train_normal_ids",), ("test_normal_ids", "test_anomaly_ids")
@@ -165,7 +167,10 @@ def near_classes(classes: DataFrame, records: DataFrame) -> DataFrame:
     possible = opposite.where((F.col("n_a") - F.expr(lone("a", "b")) >= need(longer)) & (F.col("n_b") - F.expr(lone("b", "a")) >= need(longer)))
     pairs = written(possible.select(F.col("block_a").alias("block"), F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = records.join(wanted, "id", "left_semi").select("id", "lines").dropDuplicates(["id"])
+    # Few ids beside the records: broadcast after counting them; past the bound the records are shuffled to them.
+    if wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = written(records.join(wanted, "id", "left_semi").select("id", "lines").dropDuplicates(["id"]), "texts")
     full = pairs.join(texts.select(F.col("id").alias("b"), F.col("lines").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("lines").alias("x")), "a")
     return full.select("block", "a", "b", "x", "y").mapInArrow(_verify, "block string, a string, b string")
 
