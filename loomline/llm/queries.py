@@ -94,4 +94,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p4_found, p4_pieces, p6_found, p6_counts, p8_found, p8_items, p9_found, p9_mix, p9_reached, p10_found, p10_levels, p10_sources)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_BARE = "regexp_replace(lower(w), '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g')"
+# DuckDB counts edits in bytes; a damaged character is one.
+_SAME = """len(a) = len(b) and len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2])) <= 1 and len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2]
+ and not (z[1] <> '#' and z[2] <> '#' and length(z[1]) >= 5 and length(z[2]) >= 5 and levenshtein(regexp_replace(z[1], '[^ -~]', '?', 'g'), regexp_replace(z[2], '[^ -~]', '?', 'g')) <= 2))) = 0"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p1_sample": """with ids as (select distinct p.paragraph_id, p.batch_no, e.seed from paragraphs p join (select dataset, seed from splits_artifacts union select a.dataset, s.seed from subsample_summaries s join splits_artifacts a using (artifact_id)) e using (dataset) where e.seed is not null and p.paragraph_id is not null),
+ m as (select max(batch_no) // 2 half from paragraphs), n as (select seed, paragraph_id, ('0x' || sha256(seed || chr(31) || paragraph_id)[1:13])::bigint / 4503599627370496.0 number, case when min(batch_no) <= any_value(half) then 0 else 1 end first_load from ids, m group by 1, 2)
+ select seed, paragraph_id, round(number, 9) as number, first_load from n where number < 0.1""",
+    "p2_found": f"""with l as (select paragraph_id, generate_subscripts(lines, 1) - 1 i, unnest(lines) line from (select distinct on (paragraph_id) * from paragraphs) where lines is not null),
+ e as (select paragraph_id, i, list_transform(list_filter(list_transform(regexp_extract_all(coalesce(line, ''), '\\S+'), lambda w: {_BARE}), lambda w: w <> ''), lambda w: case when regexp_matches(w, '[0-9]') then '#' else w end) b from l),
+ p as (select *, lag(b) over (partition by paragraph_id order by i) a from e), q as (select paragraph_id, i, coalesce(len(a) > 0 and len(b) > 0 and {_SAME}, false) same from p),
+ g as (select *, sum(case when same then 0 else 1 end) over (partition by paragraph_id order by i) run from q)
+ select paragraph_id, min(i) first_line, max(i) last_line from g group by paragraph_id, run having count(*) > 1""",
+    "p3_found": """with r as (select distinct request_id, batch_from, batch_to, sample_size, max_normal, max_anomaly, dataset, label, target_share, min_rows from sample_requests),
+ n as (select r.*, (select count(distinct p.paragraph_id) from paragraphs p where p.dataset = r.dataset and p.label = r.label and p.batch_no between r.batch_from and r.batch_to) available from r)
+ select request_id, dataset, label from n where least(available, case when label = 0 then max_normal else max_anomaly end) < greatest(min_rows, target_share * sample_size) - 1e-9""",
+    "p3_report": """with r as (select distinct request_id, batch_from, batch_to, sample_size, max_normal, max_anomaly, dataset, label, target_share, min_rows from sample_requests),
+ n as (select r.*, (select count(distinct p.paragraph_id) from paragraphs p where p.dataset = r.dataset and p.label = r.label and p.batch_no between r.batch_from and r.batch_to) available from r),
+ s as (select *, least(available, case when label = 0 then max_normal else max_anomaly end) supply, greatest(min_rows, target_share * sample_size) wanted from n)
+ select request_id, dataset, label, available, supply, round(wanted, 6) wanted, supply >= wanted - 1e-9 met from s""",
+    "p4_found": """with p as (select paragraph_id, max(1 + len(regexp_extract_all(array_to_string(lines, chr(10)), '\\S+')) + len(list_filter(lines, lambda x: x is not null))) n from paragraphs where lines is not null group by 1)
+ select paragraph_id, backbone from p, backbone_limits where n > max_tokens""",
+    "p6_found": """with t as (select paragraph_id, word, row_number() over (partition by paragraph_id, word) k from (select paragraph_id, unnest(regexp_extract_all(lower(line), '\\S+')[3:]) word from (select paragraph_id, unnest(lines) line from (select distinct on (paragraph_id) * from paragraphs)))),
+ n as (select paragraph_id, count(*) n from t group by 1),
+ f as (select distinct artifact_id, fold_id, case when stream = 'train_normal_ids' then 'train' else 'test' end side, paragraph_id from fold_splits where stream in ('train_normal_ids', 'test_normal_ids', 'test_anomaly_ids')),
+ ids as (select distinct artifact_id, paragraph_id from f),
+ tt as (select artifact_id, paragraph_id, word, k, count(*) over (partition by artifact_id, word, k) df from t join ids using (paragraph_id)),
+ o as (select *, row_number() over (partition by artifact_id, paragraph_id order by df, word, k) r from tt),
+ pre as (select o.* from o join n using (paragraph_id) where r <= n - cast(ceil(0.8 * n - 1e-9) as bigint) + 1 and df > 1),
+ c as (select distinct a.artifact_id, a.paragraph_id a, b.paragraph_id b from pre a join pre b on a.artifact_id = b.artifact_id and a.word = b.word and a.k = b.k and a.paragraph_id < b.paragraph_id),
+ sim as (select c.artifact_id, c.a, c.b from c join t x on x.paragraph_id = c.a join t y on y.paragraph_id = c.b and y.word = x.word and y.k = x.k join n na on na.paragraph_id = c.a join n nb on nb.paragraph_id = c.b group by 1, 2, 3 having count(*) >= 0.8 * greatest(any_value(na.n), any_value(nb.n)) - 1e-9),
+ w as (select artifact_id, a, b from sim union all select artifact_id, b, a from sim union all select artifact_id, paragraph_id, paragraph_id from ids)
+ select distinct x.artifact_id, x.fold_id, least(x.paragraph_id, y.paragraph_id) paragraph_id_a, greatest(x.paragraph_id, y.paragraph_id) paragraph_id_b
+ from f x join w on w.artifact_id = x.artifact_id and w.a = x.paragraph_id join f y on y.artifact_id = x.artifact_id and y.fold_id = x.fold_id and y.paragraph_id = w.b where x.side = 'train' and y.side = 'test'""",
+    "p9_found": """with d as (select distinct on (doc_id) batch_no, lower(trim(source)) source, len(regexp_extract_all(text, '\\S+')) n from documents where text is not null and source is not null),
+ t as (select distinct mix_id, batch_from, batch_to, total_words, lower(trim(source)) source, target_share, max_repeats from mix_targets)
+ select mix_id, source from t where max_repeats * (select coalesce(sum(n), 0) from d where d.source = t.source and d.batch_no between t.batch_from and t.batch_to) < target_share * total_words - 1e-6""",
+}
