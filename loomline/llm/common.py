@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Partial sums that one task adds up at most.
+FAN_IN = 64
 #: Buckets a group's keys are cut into for running totals.
 BUCKETS = 1024
 
@@ -48,3 +54,39 @@ def running_total(df: DataFrame, group: list[str], key: str, size: Column, tie:
     within = Window.partitionBy(*group, "_bucket").orderBy(key, tie).rowsBetween(Window.unboundedPreceding, -1)
     joined = cut.join(base, [*group, "_bucket"])
     return joined.withColumn(alias, F.col("_base") + F.coalesce(F.sum("_size").over(within), F.lit(0))).drop("_bucket", "_size", "_base")
+
+
+def table_parts(table: np.ndarray, width: int) -> pa.RecordBatch:
+    """A task's table of counts as rows (chunk, task, n): the chunks of ``width`` entries that are not all zero."""
+    flat = table.reshape(-1, width)
+    some = np.nonzero(flat.any(1))[0]
+    task = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_pydict({"chunk": pa.array(some, pa.int32()), "task": pa.array([task] * len(some), pa.int32()), "n": pa.array([flat[i].tobytes() for i in some], pa.binary())})
+
+
+TABLE_PARTS = "chunk int, task int, n binary"
+
+
+def summed_table(parts: DataFrame, tasks: int, size: int, width: int, dtype: type) -> np.ndarray:
+    """The sum of the tasks' tables, each of ``size`` entries of ``dtype``; sums stop at its largest value.
+
+    Parts are added up in levels of at most FAN_IN, so no task holds more however many there were; the driver gets one
+    table of fixed size.
+    """
+    most = np.iinfo(dtype).max
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width, np.uint64)
+        for x in rows.n:
+            total += np.frombuffer(x, dtype).astype(np.uint64)
+        return pd.DataFrame({"chunk": rows.chunk.iloc[:1], "task": rows.task.iloc[:1] // FAN_IN, "n": [np.minimum(total, most).astype(dtype).tobytes()]})
+
+    while True:
+        parts = parts.groupBy("chunk", F.floor(F.col("task") / FAN_IN).alias("level")).applyInPandas(add, TABLE_PARTS)
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
+    out = np.zeros(size, dtype)
+    for r in parts.select("chunk", "n").toLocalIterator():
+        out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.n, dtype)
+    return out

@@ -14,13 +14,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import written
+from loomline.llm.common import TABLE_PARTS, summed_table, table_parts, written
 from loomline.llm.prose import sentences
 
 VOCABULARY = 1 << 18
@@ -89,7 +88,7 @@ class Model:
         total = counts.sum(0)
         seen = total > 0
         g, t, n = GRID[seen] - GRID.mean(), total[seen], counts[:, seen]
-        c, s = np.log((n.sum(1) + 0.01) / t.sum()), np.zeros(len(n))
+        c, s = np.log((n.sum(1) + 0.01) / max(1.0, t.sum())), np.zeros(len(n))
         for _ in range(8):
             rate = np.exp(np.clip(c[:, None] + s[:, None] * g, -30, 5)) * t
             d0, d1 = (n - rate).sum(1), ((n - rate) * g).sum(1) - RIDGE * s
@@ -128,18 +127,11 @@ def _counts(profiles: DataFrame, model: Model | None, from_length: bool) -> np.n
                 else:
                     continue
                 own[w, int(round((at - 1) * 2))] += 1
-        flat = own.reshape(-1, width)
-        some = np.nonzero(flat.any(1))[0]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(some, pa.int32()), "n": pa.array(flat[some].tolist(), pa.list_(pa.int64()))})
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": [rows.chunk.iloc[0]], "n": [np.sum(np.stack(rows.n.to_list()), axis=0)]})
-
-    parts = profiles.select("words", "rating", "sentence_words").mapInArrow(count, "chunk int, n array<bigint>")
-    out = np.zeros((VOCABULARY * levels // width, width), np.int64)
-    for r in parts.groupBy("chunk").applyInPandas(add, "chunk int, n array<bigint>").toLocalIterator():  # at most VOCABULARY / _CHUNK rows
-        out[r.chunk] = r.n
-    return out.reshape(VOCABULARY, levels).astype(np.float64)
+        yield table_parts(own, width)
+
+    seen = profiles.select("words", "rating", "sentence_words")
+    total = summed_table(seen.mapInArrow(count, TABLE_PARTS), seen.rdd.getNumPartitions(), VOCABULARY * levels, width, np.int64)
+    return total.reshape(VOCABULARY, levels).astype(np.float64)
 
 
 def levels(documents: DataFrame, ratings: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:

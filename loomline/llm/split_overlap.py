@@ -14,13 +14,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import written
+from loomline.llm.common import TABLE_PARTS, summed_table, table_parts, written
 
 #: Share of the longer record's words, as a fraction.
 SHARE = (4, 5)
@@ -66,24 +65,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lines in batch.column(0).to_pylist():
             np.add.at(own, (tokens.of(lines) % np.uint64(SKETCH)).astype(np.int64), 1)
-    parts = own.reshape(-1, _CHUNK)
-    some = np.nonzero(parts.any(1))[0]
-    yield pa.RecordBatch.from_pydict({"chunk": pa.array(some, pa.int32()), "n": pa.array([parts[i].tobytes() for i in some], pa.binary())})
+    yield table_parts(own, _CHUNK)
 
 
 def _frequency(records: DataFrame) -> np.ndarray:
     """Uses of each sketch slot over all records, as SKETCH 32-bit counts (16 MB, whatever the table's size)."""
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_CHUNK, np.uint64)
-        for x in rows.n:
-            total += np.frombuffer(x, np.uint32)
-        return pd.DataFrame({"chunk": [rows.chunk.iloc[0]], "n": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-    out = np.zeros(SKETCH, np.uint32)
-    parts = records.select("lines").mapInArrow(_count, "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, n binary")
-    for r in parts.toLocalIterator():
-        out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.n, np.uint32)
-    return out
+    lines = records.select("lines")
+    return summed_table(lines.mapInArrow(_count, TABLE_PARTS), lines.rdd.getNumPartitions(), SKETCH, _CHUNK, np.uint32)
 
 
 _SIGNATURE = "id string, class binary, n int, prefix array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"

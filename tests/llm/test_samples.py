@@ -45,6 +45,23 @@ def test_running_total_is_exact(spark):
     assert got == want
 
 
+def test_tables_are_summed_in_levels(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(common, "FAN_IN", 3)
+
+    def count(batches):
+        own = np.zeros(32, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                own[x % 20] += 1
+        yield common.table_parts(own, 8)
+
+    rows = spark.range(0, 1000, 1, 20)
+    got = common.summed_table(rows.mapInArrow(count, common.TABLE_PARTS), 20, 32, 8, np.int64)
+    assert got.tolist() == [50] * 20 + [0] * 12
+
+
 def test_controlled_rounding_keeps_margins():
     random.seed(4)
     for _ in range(200):
