@@ -57,11 +57,6 @@ def budgets(documents: DataFrame, targets: DataFrame, size: Column | None = None
     return out.withColumn("rest", F.when(F.col("epochs") < F.col("most"), rest).otherwise(0.0)).select("mix_id", "batch_from", "batch_to", "source", "supply", "budget", "most", "epochs", "rest", "met")
 
 
-def short_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source) of the sources that stay below their budget at full repetition."""
-    return budgets(documents, targets).where(~F.col("met")).select("mix_id", "source")
-
-
 def mix(documents: DataFrame, targets: DataFrame, size: Column | None = None, seed: int = 0) -> DataFrame:
     """(mix_id, source, doc_id, size, repeats): how often each document is used.
 
@@ -78,14 +73,21 @@ def mix(documents: DataFrame, targets: DataFrame, size: Column | None = None, se
 
 
 def reached(documents: DataFrame, targets: DataFrame, size: Column | None = None, seed: int = 0) -> DataFrame:
-    """Per plan and source: budget, the size reached and its share of the mix."""
+    """Per plan and source: budget, the size reached, its share of the mix, and whether the source has no more to give."""
     used = mix(documents, targets, size, seed).groupBy("mix_id", "source").agg(F.sum(F.col("size") * F.col("repeats")).alias("reached"), F.count(F.lit(1)).alias("n_documents"), F.max("repeats").alias("most_repeats"))
     all_ = used.groupBy("mix_id").agg(F.sum("reached").alias("_all"))
-    plan = budgets(documents, targets, size).select("mix_id", "source", "budget", "supply", "met")
+    plan = budgets(documents, targets, size).select("mix_id", "source", "budget", "supply", "most", "met")
     return plan.join(used, ["mix_id", "source"], "left").join(all_, "mix_id", "left").select(
         "mix_id", "source", "budget", "supply", "met",
         F.coalesce("reached", F.lit(0)).alias("reached"),
         F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         F.coalesce(F.try_divide("reached", "_all"), F.lit(0.0)).alias("share_reached"),
+        (F.coalesce("reached", F.lit(0)) >= F.col("most") * F.col("supply")).alias("exhausted"),
     )
+
+
+def short_sources(documents: DataFrame, targets: DataFrame, size: Column | None = None) -> DataFrame:
+    """(mix_id, source) of the sources whose mix uses every document as often as it may and stays below the budget."""
+    got = reached(documents, targets, size)
+    return got.where(F.col("exhausted") & (F.col("reached") < F.col("budget") - EPSILON)).select("mix_id", "source")
