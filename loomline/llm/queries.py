@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import category_sample, leakage, mixing, permanent_sample, reading_level, repeated_events, split_overlap, splitting
+from loomline.llm import category_sample, leakage, mixing, permanent_sample, reading_level, repeated_events, split_overlap, splitting, tokens
 from loomline.sources import table
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     """For every seed, a tenth of the paragraphs of its datasets, loaded in two halves of the batches."""
@@ -78,6 +80,11 @@ def p9_reached(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_tokens(spark: SparkSession, d: str, path: str = TOKENIZER) -> DataFrame:
+    """The mixes with tokens for words."""
+    return mixing.reached(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokens.token_count("text", path))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.for_specialists(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
@@ -91,7 +98,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p4_found, p4_pieces, p6_found, p6_counts, p8_found, p8_items, p9_found, p9_mix, p9_reached, p10_found, p10_levels, p10_sources)
+    f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p4_found, p4_pieces, p6_found, p6_counts, p8_found, p8_items, p9_found, p9_mix, p9_reached, p9_tokens, p10_found, p10_levels, p10_sources)
 }
 
 _BARE = "regexp_replace(lower(w), '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g')"
