@@ -545,6 +545,6 @@ def exported_streams(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "fold_splits").select("artifact_id", "fold_id", "seed", "stream", "pos", "paragraph_id").distinct()
     back = artifacts.splits_json(rows, ["artifact_id"]).select("artifact_id", F.explode(F.from_json("value", artifacts.SPLITS)["folds"]).alias("f"))
-    sizes = back.select("artifact_id", F.explode(F.array(*(F.struct(F.lit(s).alias("stream"), F.size(F.col(f"f.{s}")).alias("n")) for s in artifacts.STREAMS))).alias("x")).groupBy("artifact_id", "x.stream").agg(F.sum("x.n").alias("n"))
+    sizes = back.select("artifact_id", F.explode(F.array(*(F.struct(F.lit(s).alias("stream"), F.size(F.col(f"f.{s}")).alias("n")) for s in artifacts.STREAMS))).alias("x")).groupBy("artifact_id", "x.stream").agg(F.sum("x.n").alias("n")).where("n > 0")
     return sizes.groupBy("artifact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stream", "n"))), lambda x: F.concat_ws(":", x["stream"], x["n"])), ",").alias("streams"))
 
