@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # The white-space characters that end a word (those of Unicode, with the ASCII separators).
 SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = f"[^{SPACES}]+"
+#: ASCII first: one range to test for most characters. The same words as without the first branch.
+WORD = f"[!-~]++[^{SPACES}]*+|[^{SPACES}]++"
 ENTITY = r"(?<![A-Za-z0-9_])blk_-?[0-9]+(?![A-Za-z0-9_])"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 

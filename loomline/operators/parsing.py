@@ -34,17 +34,19 @@ def parse_labelled(lines: DataFrame, text: str = "text") -> DataFrame:
     ``failure`` is null for a parsed line, ``missing_content`` for exactly two words (whatever the second), else
     ``unparseable_timestamp`` (blank, one word, no number). The other columns are null where it is set.
     """
-    w = words(text)
-    ts = time_field(text)
+    w = F.col("_words")
+    ts = F.when(F.size(w) >= 3, F.get(w, 1).try_cast("bigint"))
     failure = F.when(F.size(w) == 2, "missing_content").when(ts.isNull(), "unparseable_timestamp")
     good = failure.isNull() & F.col(text).isNotNull()
-    return lines.withColumns({
+    # Words are found once a line, in a step of their own.
+    cut = lines.withColumn("_words", words(text))
+    return cut.withColumns({
         "failure": F.when(F.col(text).isNull(), "unparseable_timestamp").otherwise(failure),
         "label_field": F.when(good, F.get(w, 0)),
         "ts": F.when(good, ts),
         "content": F.when(good, content_field(text)),
         "anomaly": F.when(good, (F.get(w, 0) != NORMAL_LABEL).cast("int")),
-    })
+    }).drop("_words")
 
 
 def drop_counters(parsed: DataFrame, text: str = "text") -> DataFrame:
