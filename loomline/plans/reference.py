@@ -270,7 +270,7 @@ _PLAN = "plan as (select distinct on (dataset) * from splits_artifacts order by
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    """The first artifact of each data set."""
+    """The first artifact of each data set, as the SQL of these queries has it; those named ..._by_artifact run for all."""
     a = table(spark, d, "splits_artifacts")
     first = a.groupBy("dataset").agg(F.min("artifact_id").alias("artifact_id"))
     return a.join(first, ["dataset", "artifact_id"])
@@ -321,6 +321,55 @@ def created_splits(spark: SparkSession, d: str) -> DataFrame:
     return sampling.create_splits(_paragraphs(spark, d), _plan(spark, d), ["dataset"])
 
 
+# The same for every artifact, each over the paragraphs of its own batches.
+
+_P_OWN = "par as (select p.* replace (a.artifact_id as dataset) from (select distinct on (paragraph_id) * from paragraphs) p join splits_artifacts a on p.dataset = a.dataset and p.batch_no between a.batch_from and a.batch_to)"
+_CAPS_OWN = "caps as (select artifact_id dataset, seed, max_normal, max_anomaly from subsample_summaries)"
+_PLAN_OWN = "plan as (select * replace (artifact_id as dataset) from splits_artifacts)"
+
+
+def _own_sql(name: str) -> str:
+    """The SQL of a query of one artifact a data set, with artifacts in place of data sets."""
+    sql = ORACLE_SQL[name].replace(_P, _P_OWN).replace(_CAPS, _CAPS_OWN).replace(_PLAN, _PLAN_OWN)
+    return f"select dataset artifact_id, * exclude (dataset) from ({sql})"
+
+
+def _own_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs with artifact_id, once for each artifact whose data set and batches hold them."""
+    a = table(spark, d, "splits_artifacts").where("batch_from <= batch_to")
+    # A row per batch, so that the join is on equal keys; an artifact has few batches.
+    batches = a.select("artifact_id", "dataset", F.explode(F.sequence("batch_from", "batch_to")).alias("batch_no"))
+    return _paragraphs(spark, d).join(batches, ["dataset", "batch_no"])
+
+
+def _own_caps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "subsample_summaries").select("artifact_id", "seed", "max_normal", "max_anomaly")
+
+
+def _own_plan(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "splits_artifacts").drop("dataset")
+
+
+@_query(_own_sql("capped_paragraphs"))
+def capped_paragraphs_by_artifact(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.capped(_own_paragraphs(spark, d).select("artifact_id", "label", "paragraph_id"), _own_caps(spark, d), ["artifact_id"])
+
+
+@_query(_own_sql("cap_summary"))
+def cap_summary_by_artifact(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.cap_summary(_own_paragraphs(spark, d), _own_caps(spark, d), ["artifact_id"])
+
+
+@_query(_own_sql("fold_assignment"))
+def fold_assignment_by_artifact(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.assign_folds(_own_paragraphs(spark, d).select("artifact_id", "label", "paragraph_id"), _own_plan(spark, d), ["artifact_id"]).select("artifact_id", "paragraph_id", "fold")
+
+
+@_query(_own_sql("created_splits"))
+def created_splits_by_artifact(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.create_splits(_own_paragraphs(spark, d), _own_plan(spark, d), ["artifact_id"])
+
+
 _FS = "fs as (select distinct artifact_id, fold_id, stream, pos, paragraph_id from fold_splits)"
 
 
