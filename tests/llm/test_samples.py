@@ -32,6 +32,26 @@ def test_registry_inserts_once(spark):
     assert P.threshold(0.3, 0.2) == 0.3 and P.threshold(0.3, 2.0) == 1.0
 
 
+def test_registry_is_taken_up_again(spark):
+    path = common.scratch(spark, "kept")
+    ids = lambda low, high: spark.createDataFrame([(7, f"p{i}", i // 100) for i in range(low, high)], "seed bigint, id string, batch_no bigint")
+    first = {tuple(r) for r in P.Registry(spark, path).add(ids(0, 500)).collect()}
+    reopened = P.Registry(spark, path)
+    assert {tuple(r) for r in reopened.read().collect()} == first and len(first) == 500
+    assert first < {tuple(r) for r in reopened.add(ids(400, 600)).collect()}
+    assert P.Registry(spark, path).read().count() == 600
+
+
+def test_later_call_keeps_members_and_threshold(spark):
+    path = common.scratch(spark, "kept")
+    ids = lambda low, high: spark.createDataFrame([(7, f"p{i}", i // 100) for i in range(low, high)], "seed bigint, id string, batch_no bigint")
+    take = lambda df, loads, share: {r.id: r.first_load for r in P.grow(df, loads, share, path=path).where("selected").collect()}
+    early = take(ids(0, 500), [(0, 4)], 0.3)
+    late = take(ids(500, 1000), [(5, 9)], 0.1)
+    assert 100 < len(early) and early.items() < late.items() and set(late.values()) == {0, 1}
+    assert P.Registry(spark, path).at == 0.3
+
+
 def test_running_total_is_exact(spark):
     random.seed(2)
     rows = [(random.choice("aab"), random.choice([0.1, 0.25, random.random()]), i, random.randrange(5)) for i in range(500)]
