@@ -101,12 +101,18 @@ def _value_reasons(feed: Feed, raw: Column) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
-def _first_broken(feed: Feed, raw: Column) -> Column:
-    """Number of the first broken field: growing prefixes, tried in turn until one no longer fits."""
+def _layout_fault(feed: Feed, raw: Column) -> Column:
+    """(broken_field, reasons) of a row that the whole pattern refuses: growing prefixes, tried in turn until one no longer fits.
+
+    Where the prefix before ends the row, fields are missing; else the field itself is broken. Behind the last column
+    stand surplus fields, of which one may be broken as well.
+    """
+    fault = lambda k, reason: F.struct(F.lit(k).alias("broken_field"), F.array(reason).alias("reasons"))
     n = len(feed.columns)
-    out = F.lit(n + 1)
+    out = fault(n + 1, F.when(raw.rlike(feed.well_quoted), "column_count").otherwise("quoting"))
     for k in reversed(range(1, n + 1)):
-        out = F.when(~raw.rlike(feed.prefix(k)), F.lit(k)).otherwise(out)
+        ended = raw.rlike(feed.whole(k - 1)) if k > 1 else F.lit(False)
+        out = F.when(~raw.rlike(feed.prefix(k)), fault(k, F.when(ended, "column_count").otherwise("quoting"))).otherwise(out)
     return out
 
 
@@ -117,14 +123,12 @@ def check_rows(rows: DataFrame, feeds: list[Feed]) -> DataFrame:
     ``unknown_feed``, a null raw ``null_row``. Repeated rows are all judged, each by itself; an empty table stays empty.
     """
     raw, feed = F.col("raw"), F.col("feed")
-    reasons = F.array(F.lit("unknown_feed"))
-    broken = F.lit(None).cast("int")
+    sound = lambda reasons: F.struct(F.lit(None).cast("int").alias("broken_field"), reasons.alias("reasons"))
+    judged = sound(F.array(F.lit("unknown_feed")))
     for x in feeds:
-        structural = F.when(raw.rlike(x.well_quoted), F.array(F.lit("column_count"))).otherwise(F.array(F.lit("quoting")))
-        reasons = F.when(feed == x.name, F.when(raw.rlike(x.whole()), _value_reasons(x, raw)).otherwise(structural)).otherwise(reasons)
-        broken = F.when((feed == x.name) & ~raw.rlike(x.whole()), _first_broken(x, raw)).otherwise(broken)
-    reasons = F.when(raw.isNull(), F.array(F.lit("null_row"))).otherwise(reasons)
-    return rows.withColumns({"reasons": reasons, "broken_field": F.when(raw.isNotNull(), broken)})
+        judged = F.when(feed == x.name, F.when(raw.rlike(x.whole()), sound(_value_reasons(x, raw))).otherwise(_layout_fault(x, raw))).otherwise(judged)
+    judged = F.when(raw.isNull(), sound(F.array(F.lit("null_row")))).otherwise(judged)
+    return rows.withColumn("_judged", judged).withColumns({"reasons": F.col("_judged.reasons"), "broken_field": F.col("_judged.broken_field")}).drop("_judged")
 
 
 def faulty_rows(rows: DataFrame, feeds: list[Feed], key: str = "row_id") -> DataFrame:
@@ -132,6 +136,11 @@ def faulty_rows(rows: DataFrame, feeds: list[Feed], key: str = "row_id") -> Data
     return check_rows(rows, feeds).select(key, F.explode("reasons").alias("reason")).distinct()
 
 
+def broken_fields(rows: DataFrame, feeds: list[Feed], key: str = "row_id") -> DataFrame:
+    """(key, feed, broken_field, reason): the first broken field of each row whose layout is at fault, once."""
+    return check_rows(rows, feeds).where("broken_field is not null").select(key, "feed", "broken_field", F.get("reasons", F.lit(0)).alias("reason")).distinct()
+
+
 def valid_rows(rows: DataFrame, feed: Feed, feeds: list[Feed] | None = None, key: str = "row_id") -> DataFrame:
     """The valid rows of one feed: the key and one text column per column of the feed, in its order. Each key once."""
     own = check_rows(rows.where(F.col("feed") == feed.name), [feed]).where(F.size("reasons") == 0)

@@ -36,11 +36,15 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return row_faults.count_faults(table(spark, d, "raw_rows"), _feeds(spark, d))
 
 
+def p7_broken_fields(spark: SparkSession, d: str) -> DataFrame:
+    return row_faults.broken_fields(table(spark, d, "raw_rows"), _feeds(spark, d))
+
+
 def p7_block_events(spark: SparkSession, d: str) -> DataFrame:
     return row_faults.valid_rows(table(spark, d, "raw_rows"), {f.name: f for f in _feeds(spark, d)}["block_events"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_entries, p5_unreadable, p7_found, p7_counts, p7_block_events)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_entries, p5_unreadable, p7_found, p7_counts, p7_broken_fields, p7_block_events)}
 
 _LAYOUT_SQL = {
     "ras": (r"^(?:-|[A-Z]+) (\S{10}) \S{10} \S+ RAS \S+ (\S+) ", 1, 2, r"^\d{10}$", ""),

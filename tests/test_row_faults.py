@@ -55,6 +55,25 @@ def test_first_broken_field(spark):
     assert R.check_rows(df, FEEDS).first().broken_field == 3
 
 
+@pytest.mark.parametrize("raw,field,reason", [
+    ("blk_1", 2, "column_count"),
+    ('"blk_1', 1, "quoting"),
+    ('blk_1,x"y', 2, "quoting"),
+    ("blk_1,Normal,more", 3, "column_count"),
+    ('blk_1,Normal,more,"', 3, "quoting"),
+])
+def test_reason_comes_from_the_first_broken_field(spark, raw, field, reason):
+    df = spark.createDataFrame([(1, "block_labels", raw)] * 2 + [(2, "block_labels", "blk_1,Normal"), (3, "block_labels", None)], "row_id bigint, feed string, raw string")
+    assert [tuple(r) for r in R.broken_fields(df, FEEDS).collect()] == [(1, "block_labels", field, reason)]
+    assert (1, reason) in [tuple(r) for r in R.faulty_rows(df, FEEDS).collect()]
+
+
+def test_prefixes_are_part_of_the_faulty_rows(spark):
+    df = spark.createDataFrame([], "row_id bigint, feed string, raw string")
+    prefix = LABELS.prefix(2)
+    assert prefix in R.faulty_rows(df, FEEDS)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_values_round_trip(spark):
     random.seed(3)
     rows = []
