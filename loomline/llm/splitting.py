@@ -1,7 +1,8 @@
 """Problem 4: paragraphs over a token limit become overlapping pieces under it, cut at natural boundaries.
 
 Separator hierarchy: stage marks, lines, words, characters. A unit that fits stays whole, one that does not is split by
-the next separator; units are then packed greedily, each piece opening with the tail of the one before.
+the next separator; units are then packed greedily, each piece opening with the tail of the one before. The tail is
+shortened, at worst left out, where a whole unit would not fit behind it.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def _size(parts: list[Part]) -> int:
     return sum(len(p[2]) + 1 for p in parts)
 
 
-def _units(lines: list[str | None], room: int) -> Iterator[list[Part]]:
-    """Units of at most ``room`` tokens, largest first choice: whole stages, then lines, then stretches of words."""
+def _units(lines: list[str | None], most: int, room: int) -> Iterator[list[Part]]:
+    """Units, largest first choice: whole stages or lines of at most ``most`` tokens, then stretches of words of at most ``room``."""
     stage: list[Part] = []
     stages = [stage]
     for n, line in enumerate(lines):
@@ -49,11 +50,14 @@ def _units(lines: list[str | None], room: int) -> Iterator[list[Part]]:
             stages.append(stage)
         stage.append((n, 0, words))
     for stage in stages:
-        if _size(stage) <= room:
+        if _size(stage) <= most:
             if stage:
                 yield stage
             continue
         for n, _, words in stage:
+            if len(words) + 1 <= most:
+                yield [(n, 0, words)]
+                continue
             for at in range(0, max(1, len(words)), max(1, room - 1)):
                 yield [(n, at, words[at : at + max(1, room - 1)])]
 
@@ -78,15 +82,15 @@ def split(lines: list[str | None], limit: int, overlap_lines: int, overlap_token
     if limit < 3:
         raise ValueError("a piece needs room for three tokens")
     overlap_tokens = max(0, min(overlap_tokens, (limit - 1) // 2))
-    # Only a unit that still fits behind the overlap may stay whole.
-    room = limit - 1 - overlap_tokens
+    # A stage or line that fits a piece stays whole, with less overlap if need be; stretches of words leave room for all of it.
+    most, room = limit - 1, limit - 1 - overlap_tokens
     out: list[tuple[list[Part], int]] = []
     piece: list[Part] = []
     repeated = 0
-    for unit in _units(lines, room):
+    for unit in _units(lines, most, room):
         if piece and 1 + _size(piece) + _size(unit) > limit:
             out.append((piece, repeated))
-            piece = _tail(piece, overlap_lines, overlap_tokens)
+            piece = _tail(piece, overlap_lines, min(overlap_tokens, most - _size(unit)))
             repeated = len(piece)
         piece = piece + unit
     if piece:
@@ -110,7 +114,7 @@ def split_oversized(sequences: DataFrame, limits: DataFrame, key: str = "paragra
     """Pieces of the sequences that exceed a backbone's ``max_tokens``; those that fit give no row.
 
     Columns: key, backbone, piece_no (from 0), n_pieces, first_line, last_line, n_overlap_lines (leading lines or parts
-    that repeat the piece before), n_tokens, lines. A cut falls at a stage mark if the stage fits a piece, else between lines, else (one
+    that repeat the piece before; fewer where a whole stage or line needs the room), n_tokens, lines. A cut falls at a stage mark if the stage fits a piece, else between lines, else (one
     line over the limit) between words. ``limits`` (backbone, max_tokens, overlap_lines, overlap_tokens) is a small
     fixed table, at most MAX_LIMITS rows. Null lines are left out; a null or empty array fits any limit; a sequence
     delivered again counts once; other columns are ignored; empty tables give an empty result.

@@ -29,6 +29,25 @@ def test_cut_falls_at_a_stage_mark():
     assert [p[0][0] for p, _ in pieces] == [0, 3]
 
 
+@pytest.mark.parametrize("size", [16, 17, 20, 24])
+def test_a_stage_that_fits_a_piece_stays_whole(size):
+    odd = (size - 7) % 2
+    stage = ["1 --- phase x begins ---", *["d"] * ((size - 7 - 3 * odd) // 2), *["e f"] * odd]
+    assert sum(len(x.split()) + 1 for x in stage) == size
+    lines = ["a b c"] * 4 + stage + ["2 --- phase y begins ---", "g h"]
+    pieces = S.split(lines, 25, 2, 8)
+    assert [(p[k][0], p[-1][0]) for p, k in pieces] == [(0, 3), (4, 3 + len(stage)), (4 + len(stage), len(lines) - 1)]
+    assert all(1 + S._size(p) <= 25 for p, _ in pieces)
+    # As much overlap as fits: two lines of four tokens, one, or some words.
+    assert S._size(pieces[1][0][: pieces[1][1]]) == {16: 8, 17: 4, 20: 4, 24: 0}[size]
+
+
+def test_a_line_that_fits_a_piece_stays_whole():
+    pieces = S.split(["a b", " ".join(["w"] * 9), "c d"], 11, 1, 4)
+    assert [[p[0] for p in parts[k:]] for parts, k in pieces] == [[0], [1], [2]]
+    assert all(len(part[2]) == 9 for parts, k in pieces for part in parts[k:] if part[0] == 1)
+
+
 def test_overlap_repeats_last_lines():
     pieces = S.split([f"a{i} b" for i in range(9)], 13, 2, 6)
     assert [(p[0][0], p[-1][0], k) for p, k in pieces] == [(0, 3, 0), (2, 5, 2), (4, 7, 2), (6, 8, 2)]
