@@ -60,6 +60,10 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.per_stream(table(spark, d, "paragraphs"), table(spark, d, "fold_splits"))
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.pairs_per_stream(table(spark, d, "paragraphs"), table(spark, d, "fold_splits"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -98,7 +102,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p4_found, p4_pieces, p6_found, p6_counts, p8_found, p8_items, p9_found, p9_mix, p9_reached, p9_tokens, p10_found, p10_levels, p10_sources)
+    f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p4_found, p4_pieces, p6_found, p6_counts, p6_pairs, p8_found, p8_items, p9_found, p9_mix, p9_reached, p9_tokens, p10_found, p10_levels, p10_sources)
 }
 
 _BARE = "regexp_replace(lower(w), '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g')"

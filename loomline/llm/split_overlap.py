@@ -163,13 +163,10 @@ def near_classes(classes: DataFrame, records: DataFrame) -> DataFrame:
     return full.select("block", "a", "b", "x", "y").mapInArrow(_verify, "block string, a string, b string")
 
 
-def overlaps(paragraphs: DataFrame, splits: DataFrame) -> DataFrame:
-    """(artifact_id, fold_id, paragraph_id_a, paragraph_id_b, stream): pairs with one id in training, the other in a test stream.
+def _sides(paragraphs: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training rows (block, fold_id, of_train, id_train), test rows (block, fold_id, of_test, id_test, stream) and ways (block, of_train, of_test).
 
-    Same or nearly: without the first two words of each line and letter case, they share at least 80 % of the words of the
-    longer one. a <= b; an id on both sides pairs with itself, also if its lines are null or it has no words (it then
-    pairs with nothing else). Rows delivered again and repeated split rows count once; null ids and folds are left out;
-    other columns are ignored; empty tables give an empty result.
+    ``of`` is the id that stands for all copies of a record; a way leads from one to a nearly equal one, in both directions.
     """
     side = F.when(F.col("stream").isin(*TRAIN), "train").when(F.col("stream").isin(*TEST), "test")
     rows = splits.withColumn("side", side).where("side is not null and artifact_id is not null and fold_id is not null and paragraph_id is not null")
@@ -193,9 +190,21 @@ def overlaps(paragraphs: DataFrame, splits: DataFrame) -> DataFrame:
     train = placed.where("side = 'train'").select("block", "fold_id", F.col("of").alias("of_train"), F.col("id").alias("id_train"))
     test = placed.where("side = 'test'").select("block", "fold_id", F.col("of").alias("of_test"), F.col("id").alias("id_test"), "stream")
     ways = near.select("block", F.col("a").alias("of_train"), F.col("b").alias("of_test")).union(near.select("block", "b", "a"))
+    return train, test, ways
+
+
+def overlaps(paragraphs: DataFrame, splits: DataFrame) -> DataFrame:
+    """(artifact_id, fold_id, paragraph_id_a, paragraph_id_b, stream, id_test): pairs with one id in training, the other in a test stream.
+
+    Same or nearly: without the first two words of each line and letter case, they share at least 80 % of the words of the
+    longer one. a <= b; an id on both sides pairs with itself, also if its lines are null or it has no words (it then
+    pairs with nothing else). Rows delivered again and repeated split rows count once; null ids and folds are left out;
+    other columns are ignored; empty tables give an empty result.
+    """
+    train, test, ways = _sides(paragraphs, splits)
     almost = train.join(ways, ["block", "of_train"]).join(test, ["block", "fold_id", "of_test"])
     same = train.join(test.withColumnRenamed("of_test", "of_train"), ["block", "fold_id", "of_train"])
-    shape = (F.col("block").alias("artifact_id"), "fold_id", F.least("id_train", "id_test").alias("paragraph_id_a"), F.greatest("id_train", "id_test").alias("paragraph_id_b"), "stream")
+    shape = (F.col("block").alias("artifact_id"), "fold_id", F.least("id_train", "id_test").alias("paragraph_id_a"), F.greatest("id_train", "id_test").alias("paragraph_id_b"), "stream", "id_test")
     return almost.select(*shape).union(same.select(*shape))
 
 
@@ -204,8 +213,28 @@ def found(paragraphs: DataFrame, splits: DataFrame) -> DataFrame:
     return overlaps(paragraphs, splits).select("artifact_id", "fold_id", "paragraph_id_a", "paragraph_id_b").distinct()
 
 
+def overlapping_ids(paragraphs: DataFrame, splits: DataFrame) -> DataFrame:
+    """(artifact_id, fold_id, stream, paragraph_id): test ids that :func:`overlaps` pairs with any training id of the fold, each once."""
+    train, test, ways = _sides(paragraphs, splits)
+    # Only whether a class is trained on counts, so a group of copies is not multiplied out.
+    trained = train.select("block", "fold_id", "of_train").distinct()
+    near = trained.join(ways, ["block", "of_train"]).select("block", "fold_id", F.col("of_test"))
+    reached = trained.withColumnRenamed("of_train", "of_test").select("block", "fold_id", "of_test").union(near).distinct()
+    met = test.join(reached, ["block", "fold_id", "of_test"], "left_semi")
+    return met.select(F.col("block").alias("artifact_id"), "fold_id", "stream", F.col("id_test").alias("paragraph_id")).distinct()
+
+
+def _datasets(paragraphs: DataFrame, key: str) -> DataFrame:
+    return paragraphs.where("paragraph_id is not null").groupBy(F.col("paragraph_id").alias(key)).agg(F.min("dataset").alias("dataset"))
+
+
 def per_stream(paragraphs: DataFrame, splits: DataFrame) -> DataFrame:
-    """Per dataset and test stream: pairs, counted once per fold."""
-    dataset = paragraphs.where("paragraph_id is not null").groupBy(F.col("paragraph_id").alias("paragraph_id_a")).agg(F.min("dataset").alias("dataset"))
-    pairs = overlaps(paragraphs, splits).distinct().join(dataset, "paragraph_id_a", "left")
+    """Per test stream and dataset of the test paragraph: overlapping test ids, counted once per fold."""
+    ids = overlapping_ids(paragraphs, splits).join(_datasets(paragraphs, "paragraph_id"), "paragraph_id", "left")
+    return ids.groupBy("dataset", "stream").agg(F.count(F.lit(1)).alias("n_ids"))
+
+
+def pairs_per_stream(paragraphs: DataFrame, splits: DataFrame) -> DataFrame:
+    """Per test stream and dataset of the test paragraph: pairs, counted once per fold."""
+    pairs = overlaps(paragraphs, splits).join(_datasets(paragraphs, "id_test"), "id_test", "left").drop("id_test").distinct()
     return pairs.groupBy("dataset", "stream").agg(F.count(F.lit(1)).alias("n_pairs"))

@@ -68,6 +68,16 @@ def test_a_hot_group_of_copies(spark):
     check(spark, paragraphs, folds)
 
 
+def test_counts_are_of_test_ids_by_their_dataset(spark):
+    same, near = ["1 2 a b c d e"], ["1 2 a b c d z"]
+    paragraphs = spark.createDataFrame([(f"a{i}", "x", same) for i in range(6)] + [(f"b{i}", "y", same) for i in range(3)] + [("c", "z", near), ("o", "y", ["1 2 own words"]), ("t", "x", ["1 2 other"])], PAR)
+    rows = [("A", k, "train_normal_ids", i, f"a{i}") for k in (0, 1) for i in range(6)] + [("A", 0, "test_normal_ids", i, f"b{i}") for i in range(3)]
+    rows += [("A", 0, "test_anomaly_ids", 0, "c"), ("A", 1, "test_anomaly_ids", 0, "c"), ("A", 0, "test_normal_ids", 9, "o"), ("A", 1, "train_normal_ids", 9, "t"), ("A", 1, "test_normal_ids", 9, "t")]
+    folds = spark.createDataFrame(rows + rows[-3:], FOLD)
+    assert {tuple(r) for r in O.per_stream(paragraphs, folds).collect()} == {("y", "test_normal_ids", 3), ("z", "test_anomaly_ids", 2), ("x", "test_normal_ids", 1)}
+    assert {tuple(r) for r in O.pairs_per_stream(paragraphs, folds).collect()} == {("y", "test_normal_ids", 18), ("z", "test_anomaly_ids", 12), ("x", "test_normal_ids", 1)}
+
+
 def test_without_broadcast_of_ids(spark, monkeypatch):
     monkeypatch.setattr(O, "MAX_BROADCAST_IDS", 0)
     paragraphs = [("a", "d", ["1 2 a b c d e"]), ("b", "d", ["1 2 a b c d z"])]
