@@ -11,6 +11,8 @@ from loomline.functions.text import words
 from loomline.operators.ranking import top_rows
 
 TOP_K = (5, 9, 12)
+#: Faulty ids that are listed of each fold.
+LISTED = 5
 #: Streams of a split, normal ids first.
 STREAMS = {s: (f"{s}_normal_ids", f"{s}_anomaly_ids") for s in ("train", "tune", "test")}
 
@@ -78,9 +80,18 @@ def evaluation_set(ids: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 def id_faults(ids: DataFrame, paragraphs: DataFrame, keys: list[str]) -> DataFrame:
-    """Per fold: ids without paragraph and ids that stand twice, with the first five of each."""
-    n = ids.groupBy(*keys, "fold_id", "paragraph_id").agg(F.count(F.lit(1)).alias("k"))
+    """Per fold: ids without paragraph and ids that stand twice, with the first five of each.
+
+    Columns: keys, fold_id, n_missing, n_repeated, missing, repeated (the LISTED least ids, in order; a null id counts
+    as missing and is not listed).
+    """
+    fold = [*keys, "fold_id"]
+    n = ids.groupBy(*fold, "paragraph_id").agg(F.count(F.lit(1)).alias("k"))
     there = n.join(paragraphs.select("paragraph_id").distinct().withColumn("there", F.lit(True)), "paragraph_id", "left")
     missing, twice = F.col("there").isNull(), F.col("k") > 1
-    marked = there.groupBy(*keys, "fold_id").agg(F.count_if(missing).alias("n_missing"), F.count_if(twice).alias("n_repeated"))
-    return marked
+    counted = there.groupBy(*fold).agg(F.count_if(missing).alias("n_missing"), F.count_if(twice).alias("n_repeated"))
+    for name, fault in (("missing", missing), ("repeated", twice)):
+        least = top_rows(there.where(fault & F.col("paragraph_id").isNotNull()), fold, [F.col("paragraph_id")], LISTED, F.col("paragraph_id"), "_nth")
+        listed = least.groupBy(*fold).agg(F.sort_array(F.collect_list("paragraph_id")).alias(name))
+        counted = counted.join(listed, fold, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return counted.select(*fold, "n_missing", "n_repeated", "missing", "repeated")

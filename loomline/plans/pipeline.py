@@ -119,7 +119,7 @@ def score(spark: SparkSession, prepared: str, splits: DataFrame, fold_id: int, s
         ids = scoring.split_ids(own, name, [])
         faults = scoring.id_faults(ids, paragraphs, []).where("n_missing > 0 or n_repeated > 0").first()
         if faults:
-            raise ValueError(f"fold {fold_id}, {name}: {faults.n_missing} ids without paragraph, {faults.n_repeated} repeated")
+            raise ValueError(f"fold {fold_id}, {name}: {faults.n_missing} ids without paragraph (first: {', '.join(faults.missing)}), {faults.n_repeated} repeated (first: {', '.join(faults.repeated)})")
         chosen = scoring.evaluation_set(ids, paragraphs)
         masked = masked_positions(chosen, n_passes, seed, limit)
         pooled = scoring.pooled_accuracy(chosen, scorer.rank(masked, max(scoring.TOP_K)), n_passes=n_passes).withColumns({"split": F.lit(name), "fold_id": F.lit(fold_id)})

@@ -400,6 +400,12 @@ def evaluation_set(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""with {_FS}, i as (select artifact_id, fold_id, paragraph_id, count(*) k from (select distinct artifact_id, fold_id, stream, pos, paragraph_id from fs where stream in ('test_normal_ids', 'test_anomaly_ids')) group by 1, 2, 3)
  select artifact_id, fold_id, count(*) filter (paragraph_id not in (select paragraph_id from paragraphs)) n_missing, count(*) filter (k > 1) n_repeated from i group by 1, 2""")
 def evaluation_faults(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.id_faults(_test_ids(spark, d), table(spark, d, "paragraphs"), ["artifact_id"]).drop("missing", "repeated")
+
+
+@_query()
+def evaluation_fault_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the first ids of each kind."""
     return scoring.id_faults(_test_ids(spark, d), table(spark, d, "paragraphs"), ["artifact_id"])
 
 
