@@ -54,9 +54,13 @@ def report(measured: DataFrame, rules: tuple[Rule, ...], keys: list[str] | None
 
 
 def enforce(reported: DataFrame, warn_only: bool = False) -> list[str]:
-    """Runs the report; raises for hard rules that fired (unless ``warn_only``), returns the names of the others."""
-    fired = reported.where("fired").select("rule", "severity", "value", "threshold").distinct().limit(1000).collect()
+    """Runs the report; raises for hard rules that fired (unless ``warn_only``), returns the names of the others.
+
+    However many rows fired, one row per rule is fetched, with its largest value and how many there were.
+    """
+    worst = F.max(F.struct("value", "threshold")).alias("w")
+    fired = reported.where("fired").groupBy("rule", "severity").agg(worst, F.count(F.lit(1)).alias("n")).select("rule", "severity", "w.*", "n").orderBy("rule").collect()
     hard = [r for r in fired if r.severity == "hard_fail"]
     if hard and not warn_only:
-        raise HardFailure("; ".join(f"{r.rule}: {r.value:.6g} > {r.threshold:.6g}" for r in hard))
+        raise HardFailure("; ".join(f"{r.rule}: {r.value:.6g} > {r.threshold:.6g}" + (f" (largest of {r.n})" if r.n > 1 else "") for r in hard))
     return sorted({r.rule for r in fired})

@@ -118,3 +118,12 @@ def test_positions(spark):
     assert [r.n for r in profile.position_histogram(at).orderBy("bin").collect()] == [0, 0, 0, 0, 0, 1, 0, 1, 0, 0]
     assert profile.position_stats(at.where("is_first")).first().verdict == "DISTRIBUTED / MIDDLE"
     assert profile.position_stats(at.limit(0)).first().p50 == 0.0
+
+
+def test_a_hard_rule_is_found_among_many_that_fired(spark):
+    rules = (quality.Rule("soft", "v", 0.0), quality.Rule("hard", "v", 4999.0, hard=True))
+    report = quality.report(spark.range(1, 5002).selectExpr("id", "cast(id as double) v"), rules, ["id"])
+    with pytest.raises(quality.HardFailure, match=r"^hard: 5001 > 4999 \(largest of 2\)$"):
+        quality.enforce(report)
+    assert quality.enforce(report, warn_only=True) == ["hard", "soft"]
+    assert quality.enforce(report.where("id < 5000")) == ["soft"]
