@@ -12,8 +12,8 @@ WORD = f"[!-~]++[^{SPACES}]*+|[^{SPACES}]++"
 ENTITY = r"(?<![A-Za-z0-9_])blk_-?[0-9]+(?![A-Za-z0-9_])"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
-#: Shape classes: a run of letters, digits and the marks that stand in for lost digits is one ``w``.
-_WORDLIKE, _GAP = "[A-Za-z0-9#?_-]+", r"\s+"
+#: Shape classes: a run of letters, digits and the marks that stand in for lost digits is one ``w``, and so is a path of such runs.
+_WORDLIKE, _PATH, _GAP = "[A-Za-z0-9#?_-]+", r"[.$/]*+w[w.$/]*+", r"\s+"
 
 
 def words(col: Column | str) -> Column:
@@ -30,9 +30,10 @@ def entities(col: Column | str, pattern: str = ENTITY) -> Column:
     return F.array_distinct(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)))
 
 
-def shape(col: Column | str, width: int) -> Column:
-    """The first ``width`` characters of a line's shape: word-like runs as ``w``, gaps as one space, other marks kept."""
-    return F.substring(F.regexp_replace(F.regexp_replace(col, _WORDLIKE, "w"), _GAP, " "), 1, width)
+def shape(col: Column | str, fields: int) -> Column:
+    """The shape of a line's first ``fields`` fields: words and paths of words as ``w``, gaps as one space, other marks kept."""
+    head = F.regexp_extract(col, rf"^(?:\s*+\S++){{0,{fields}}}", 0)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(head, _WORDLIKE, "w"), _PATH, "w"), _GAP, " ")
 
 
 def real_time(digits: Column) -> Column:

@@ -1,8 +1,9 @@
 """Raw log lines of many programs into entries with time, level, component and message.
 
-Shape signatures: each line is collapsed to a short signature (word-like runs to ``w``); every *distinct*
-signature is resolved once to a layout or to none, and the small table of signatures that begin an entry is joined
-back (broadcast after its size is checked, by a shuffle otherwise). Lines of no layout are attached to the entry
+Shape signatures: the head of each line is collapsed to a short signature (word-like runs to ``w``); every *distinct*
+signature is resolved once to a layout or to none, and the small table of signatures that begin an entry is broadcast.
+Signatures that are long, and all of them where there are too many to broadcast, are resolved in place by the same
+expression, so the rows are the same and no line is moved for it. Lines of no layout are attached to the entry
 before them in their file. Files are cut into blocks of line numbers, so no task holds a whole file.
 """
 
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions.text import MONTHS, real_time, shape
 
-SIGNATURE_WIDTH = 40
-#: Signatures that are broadcast at most; each has at most SIGNATURE_WIDTH characters (about 10 MB in all).
-MAX_BROADCAST_SIGNATURES = 100_000
+#: Fields of a line that its signature covers; no layout's signature looks further.
+SIGNATURE_FIELDS = 8
+#: What is broadcast at most: signatures, and characters of one. Others are resolved in place.
+MAX_BROADCAST_SIGNATURES, MAX_SIGNATURE_LENGTH = 50_000, 100
 #: Line numbers a block of a file covers.
 BLOCK_LINES = 8192
 # Names of the levels that count as error or worse; prefixes of them count too.
@@ -40,11 +42,11 @@ class Layout:
 
 # The layouts, by shape and by line. In a time, digits may be lost.
 LAYOUTS = (
-    Layout("ras", r"^w w w\.w\.w w\S* w w w", r"^(?:-|[A-Z][A-Z0-9_]*) (\S{10}) \S{4}\.\S\S\.\S\S \S+ RAS (\S+) (\S+) ?(.*)$", 1, 3, 2, 4),
-    Layout("glog", r"^w w:w:w\.w w [w.]+:w\]", r"^([A-Z])(\S{4} \S\S:\S\S:\S\S\.\S{6}) +\d+ ([^\s\]]+:\d+)\] ?(.*)$", 2, 1, 3, 4),
-    Layout("session", r"^w w w w [w.$]+:", r"^(\S{6} \S{6}) \d+ ([A-Za-z]+) ([\w.$]+): ?(.*)$", 1, 2, 3, 4),
-    Layout("syslog", r"^(<w>)?w w w:w:w [w.]+ [w./]+\[w\]:", r"^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \S]\S \S\S:\S\S:\S\S) \S+ ([^\s\[]+)\[\d+\]: ?(.*)$", 2, 1, 3, 4),
-    Layout("bracket", r"^\[w/w/w w:w:w\] \(w\)", r"^\[(\S{4}/\S\S/\S\S \S\S:\S\S:\S\S)\] \((\w+)\) (\S+) \| ?(.*)$", 1, 2, 3, 4),
+    Layout("ras", r"^w w w \S+ w \S+ \S+", r"^(?:-|[A-Z][A-Z0-9_]*) (\S{10}) \S{4}\.\S\S\.\S\S \S+ RAS (\S+) (\S+) ?(.*)$", 1, 3, 2, 4),
+    Layout("glog", r"^w w:w:w w \S+:w\]", r"^([A-Z])(\S{4} \S\S:\S\S:\S\S\.\S{6}) +\d+ ([^\s\]]+:\d+)\] ?(.*)$", 2, 1, 3, 4),
+    Layout("session", r"^w w w w \S+:", r"^(\S{6} \S{6}) \d+ ([A-Za-z]+) ([\w.$]+): ?(.*)$", 1, 2, 3, 4),
+    Layout("syslog", r"^(<w>)?w w w:w:w \S+ \S+\[w\]:", r"^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \S]\S \S\S:\S\S:\S\S) \S+ ([^\s\[]+)\[\d+\]: ?(.*)$", 2, 1, 3, 4),
+    Layout("bracket", r"^\[w w:w:w\] \(w\)", r"^\[(\S{4}/\S\S/\S\S \S\S:\S\S:\S\S)\] \((\w+)\) (\S+) \| ?(.*)$", 1, 2, 3, 4),
     Layout("threaded", r"^w w:w:w,w w \[", r"^(\S{10} \S\S:\S\S:\S\S,\S{3}) +([A-Za-z]+) +\[[^\]]+\] (\S+) - ?(.*)$", 1, 2, 3, 4),
     Layout("pairs", r"^w=w:w:w w=", r'^ts=(\S+)(?= )(?=(?: [a-z]+=[^"\s]+)*? level=(\w+))(?=(?: [a-z]+=[^"\s]+)*? component=([^"\s]+)).*? msg="(.*?)"(?: [a-z]+=\S*)*$', 1, 2, 3, 4),
 )
@@ -78,49 +80,54 @@ def read_time(layout: Column, text: Column) -> Column:
     )
 
 
-def resolve_signatures(signatures: DataFrame) -> DataFrame:
-    """(signature, rule) of each distinct signature; the rule is null for continuations."""
+def rule_of(signature: Column) -> Column:
+    """The rule a signature resolves to, null for continuations."""
     rule = F.lit(None).cast("string")
     for name, pattern in (("json", _JSON), ("open", _OPEN), ("key", _KEY), ("close", _CLOSE), *((x.name, x.signature) for x in reversed(LAYOUTS))):
-        rule = F.when(F.col("signature").rlike(pattern), name).otherwise(rule)
-    return signatures.select("signature", rule.alias("rule"))
+        rule = F.when(signature.rlike(pattern), name).otherwise(rule)
+    return rule
 
 
 def _resolved(lines: DataFrame) -> DataFrame:
-    spark = lines.sparkSession
-    signed = lines.withColumn("signature", shape("text", SIGNATURE_WIDTH))
-    rules = resolve_signatures(signed.select("signature").distinct())
-    # Few rows: counted by collecting one more than may be broadcast. Past that, the rules join by a shuffle.
+    """``lines`` with ``signature`` and ``rule``."""
+    signed = lines.withColumn("signature", shape("text", SIGNATURE_FIELDS))
+    short = F.length("signature") <= MAX_SIGNATURE_LENGTH
+    rules = signed.where(short).select("signature").distinct().select("signature", rule_of(F.col("signature")).alias("rule"))
+    # Counted by collecting one more than may be broadcast.
     # No filter on the rule here: it would be pushed below the distinct and resolve every line.
     known = rules.limit(MAX_BROADCAST_SIGNATURES + 1).collect()
-    if len(known) <= MAX_BROADCAST_SIGNATURES:
-        known = [r for r in known if r.rule is not None]
-        kept = pa.table({"signature": [r.signature for r in known], "rule": [r.rule for r in known]}, pa.schema([("signature", pa.string()), ("rule", pa.string())]))
-        rules = F.broadcast(spark.createDataFrame(kept))
-    return signed.join(rules, "signature", "left").drop("signature")
+    if len(known) > MAX_BROADCAST_SIGNATURES:
+        return signed.withColumn("rule", rule_of(F.col("signature")))
+    known = [r for r in known if r.rule is not None]
+    kept = pa.table({"signature": [r.signature for r in known], "rule": [r.rule for r in known]}, pa.schema([("signature", pa.string()), ("rule", pa.string())]))
+    found = signed.join(F.broadcast(lines.sparkSession.createDataFrame(kept)), "signature", "left")
+    return found.withColumn("rule", F.when(short, F.col("rule")).otherwise(rule_of(F.col("signature"))))
 
 
-def _fields(rule: Column, text: Column) -> dict[str, Column]:
+def _parts(rule: Column, text: Column) -> Column:
+    """time, level, component and message of a line as its layout's own pattern gives them, in one match; shorter if it does not fit.
+
+    No group can hold a line break, which parts them here.
+    """
+    cut = F.lit("")
+    for x in LAYOUTS:
+        cut = F.when(rule == x.name, F.regexp_replace(text, x.line, "\n" + "\n".join(f"${n}" for n in (x.time, x.level, x.component, x.message)))).otherwise(cut)
+    return F.split(cut, "\n")
+
+
+_FIELDS = ("time", "level", "component", "message")
+
+
+def _fields(rule: Column, text: Column, parts: Column, fits: Column) -> dict[str, Column]:
     """time, level, component and message as text, null where the rule's own pattern does not fit the line."""
     out = {}
-    for field in ("time", "level", "component", "message"):
-        value = F.lit(None).cast("string")
-        for x in LAYOUTS:
-            value = F.when(rule == x.name, F.nullif(F.regexp_extract(text, x.line, getattr(x, field)), F.lit(""))).otherwise(value)
+    for n, field in enumerate(_FIELDS, 1):
         one = F.coalesce(*(F.get_json_object(text, f"$.{k}") for k in _KEYS[field]))
         key = F.nullif(F.regexp_extract(text, rf'^\s*"(?:{"|".join(_KEYS[field])})"\s*:\s*"((?:[^"\\]|\\.)*+)"', 1), F.lit(""))
-        out[field] = F.when(rule == "json", one).when(rule == "key", key).otherwise(value)
+        out[field] = F.when(rule == "json", one).when(rule == "key", key).when(fits, F.nullif(F.get(parts, F.lit(n)), F.lit("")))
     return out
 
 
-def _begins(rule: Column, text: Column) -> Column:
-    """Whether a line of this rule begins an entry: its layout's own pattern must fit too."""
-    fits = F.lit(False)
-    for x in LAYOUTS:
-        fits = F.when(rule == x.name, text.rlike(x.line)).otherwise(fits)
-    return F.coalesce(F.when(rule.isin("json", "open"), True).when(rule.isin("key", "close"), False).otherwise(fits), F.lit(False))
-
-
 def attach(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Adds ``first_line_no``: that of the entry each line belongs to, null before a file's first entry.
 
@@ -145,15 +152,18 @@ def attach(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Each line with the fields its layout gives and the first line of its entry.
 
-    Input: log_file, line_no, text (others are ignored). Output: log_file, line_no, text, begins, rule, time, level,
-    component, message (texts), first_line_no. Lines without a file or number are left out, a null text is a
+    Input: log_file, line_no, text (others are ignored). Output: log_file, line_no, text, signature, begins, rule, time,
+    level, component, message (texts), first_line_no. Lines without a file or number are left out, a null text is a
     continuation; a line delivered repeatedly comes out as often (:func:`entries` counts it once); an empty table
     gives an empty result.
     """
     source = lines.select(F.col("log_file"), F.col("line_no"), F.col("text")).where("log_file is not null and line_no is not null")
-    known = _resolved(source)
     rule, text = F.col("rule"), F.col("text")
-    return attach(known.withColumns({"begins": _begins(rule, text)} | _fields(rule, text)))
+    # Each line meets its layout's pattern once, in a step of its own.
+    cut = _resolved(source).withColumn("_parts", _parts(rule, text))
+    fits = F.coalesce(F.size("_parts") > len(_FIELDS), F.lit(False))
+    begins = F.coalesce(rule.isin("json", "open"), F.lit(False)) | fits
+    return attach(cut.withColumns({"begins": begins} | _fields(rule, text, F.col("_parts"), fits)).drop("_parts"))
 
 
 def entries(lines: DataFrame) -> DataFrame:
@@ -163,7 +173,7 @@ def entries(lines: DataFrame) -> DataFrame:
     stamp is unreadable (``time_text`` keeps it). Repeated lines, nulls and empty tables: see :func:`parse_lines`.
     """
     parsed = parse_lines(lines).where("first_line_no is not null")
-    fields = ("time", "level", "component", "message")
+    fields = _FIELDS
     # Of the lines after the first, only the keys of a spread JSON entry speak for it.
     key = lambda c: F.min_by(c, F.when((F.col("rule") == "key") & F.col(c).isNotNull(), F.col("line_no")))
     grouped = parsed.groupBy("log_file", "first_line_no").agg(
@@ -203,4 +213,17 @@ def unreadable_times(lines: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["Layout", "LAYOUTS", "attach", "entries", "is_severe", "parse_lines", "read_time", "severe_entries", "unreadable_times"]
+def unresolved_signatures(lines: DataFrame) -> DataFrame:
+    """(signature, n_lines, n_timed, n_leading): signatures of the lines that no layout knows, so that a new layout does not go unseen.
+
+    Such a line counts as a continuation. ``n_timed`` of them hold a time of day or Unix seconds among the signature's
+    fields, as the first line of an entry would; ``n_leading`` stand before their file's first entry and so belong to
+    none. A line counts once, however often it was delivered.
+    """
+    lost = parse_lines(lines).where("not begins and (rule is null or rule not in ('key', 'close'))")
+    once = lost.select("log_file", "line_no", "signature", "text", F.col("first_line_no").isNull().alias("leading")).distinct()
+    timed = F.regexp_extract("text", rf"^(?:\s*+\S++){{0,{SIGNATURE_FIELDS}}}", 0).rlike(r"(?<![0-9:])[0-9]{2}:[0-9]{2}:[0-9]{2}(?![0-9:])|\b1[0-9]{9}\b")
+    return once.groupBy("signature").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(timed).alias("n_timed"), F.count_if("leading").alias("n_leading"))
+
+
+__all__ = ["Layout", "LAYOUTS", "attach", "entries", "is_severe", "parse_lines", "read_time", "rule_of", "severe_entries", "unreadable_times", "unresolved_signatures"]

@@ -23,6 +23,10 @@ def p5_unreadable(spark: SparkSession, d: str) -> DataFrame:
     return log_entries.unreadable_times(table(spark, d, "log_lines"))
 
 
+def p5_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return log_entries.unresolved_signatures(table(spark, d, "log_lines"))
+
+
 def _feeds(spark: SparkSession, d: str) -> list[row_faults.Feed]:
     return row_faults.read_specs(table(spark, d, "feed_specs"))
 
@@ -44,7 +48,7 @@ def p7_block_events(spark: SparkSession, d: str) -> DataFrame:
     return row_faults.valid_rows(table(spark, d, "raw_rows"), {f.name: f for f in _feeds(spark, d)}["block_events"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_entries, p5_unreadable, p7_found, p7_counts, p7_broken_fields, p7_block_events)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_entries, p5_unreadable, p5_unresolved, p7_found, p7_counts, p7_broken_fields, p7_block_events)}
 
 _LAYOUT_SQL = {
     "ras": (r"^(?:-|[A-Z]+) (\S{10}) \S{10} \S+ RAS \S+ (\S+) ", 1, 2, r"^\d{10}$", ""),

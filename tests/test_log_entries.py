@@ -86,6 +86,20 @@ def test_very_long_line_and_clashing_columns(spark):
     assert [tuple(r) for r in L.severe_entries(df).collect()] == [("a", 1, 1)]
 
 
-def test_many_signatures_join_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_BROADCAST_SIGNATURES", 1)
+@pytest.mark.parametrize("bound", ["MAX_BROADCAST_SIGNATURES", "MAX_SIGNATURE_LENGTH"])
+def test_many_or_long_signatures_are_resolved_in_place(spark, monkeypatch, bound):
+    monkeypatch.setattr(L, bound, 1)
     assert found(spark, ["010122 000032 5165 ERROR a.B: x", "a, b", "c; d"]) == [("a.log", 1, 3)]
+
+
+@pytest.mark.parametrize("component", [".".join(f"part{i}" for i in range(20)), "a$b$" * 50 + "C", "x" * 5000])
+def test_long_components_begin_entries(spark, component):
+    info = "010122 000031 5165 INFO a.B: y"
+    assert found(spark, [info, f"010122 000032 5165 ERROR {component}: x"]) == [("a.log", 2, 2)]
+
+
+def test_unknown_layouts_are_counted(spark):
+    lines = ["\tlost head", "010122 000032 5165 ERROR a.B: x", "NEWPROG 2008-11-09T20:35:20 one", "NEWPROG 2008-11-09T20:35:21 two", "\tat x"]
+    rows = [("a", i, t) for i, t in enumerate(lines)] + [("a", 2, lines[2])]
+    got = {r.signature: tuple(r)[1:] for r in L.unresolved_signatures(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {" w w": (2, 0, 1), "w w:w:w w": (2, 2, 0)}

@@ -24,7 +24,9 @@ def test_entities(spark, text, want):
 
 def test_shape_and_times(spark):
     df = spark.createDataFrame([("- 16#0 ab-1  [x]:",)], "t string")
-    assert df.select(shape("t", 9)).first()[0] == "w w w [w]"
+    assert df.select(shape("t", 9)).first()[0] == "w w w [w]:"
+    assert df.select(shape("t", 3)).first()[0] == "w w w"
+    assert spark.createDataFrame([("10:2.5 a.b$C/d: \"k\"",)], "t string").select(shape("t", 9)).first()[0] == 'w:w w: "w"'
     stamps = ["20220228235959", "20220230000000", "20220101240000", "20220101000060", "x", "", None]
     from pyspark.sql import functions as F
 
