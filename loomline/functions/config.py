@@ -37,18 +37,18 @@ def number(value: object) -> float:
 def resolve_backbone(config: dict, decision: str | Path | None = None) -> str:
     """``training.backbone`` if set; else the one a decision file chose; else the long or short one by ``training.use_longformer``.
 
-    A decision file that is named must exist and hold ``chosen_backbone``.
+    A decision file that is named must exist and hold ``chosen_backbone``, also where it is overridden.
     """
     training, names = config.get("training") or {}, config.get("backbone") or {}
-    if training.get("backbone"):
-        return training["backbone"]
+    chosen = None
     if decision is not None:
         if not Path(decision).exists():
             raise FileNotFoundError(decision)
         chosen = load_json(decision).get("chosen_backbone")
         if not chosen:
             raise ValueError(f"{decision} has no chosen_backbone")
-        return chosen
+    if training.get("backbone") or chosen:
+        return training.get("backbone") or chosen
     if training.get("use_longformer"):
         return names.get("longformer_id", LONG_BACKBONE)
     return names.get("roberta_id", SHORT_BACKBONE)

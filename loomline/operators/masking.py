@@ -34,23 +34,35 @@ def _pick(n: Column, share: float, key) -> Column:
     return F.coalesce(F.array_sort(F.transform(first, lambda x: x["i"])), F.array().cast("array<int>"))
 
 
+def _cut(lines: DataFrame, budget: int | None, tokenizer: Tokenizer) -> DataFrame:
+    """(paragraph_id, t): the tokens of each line, cut at ``budget`` tokens of the paragraph."""
+    tok = F.transform(F.array_compact("lines"), lambda x: tokenizer(x))
+    cut = lines.select("paragraph_id", tok.alias("t"))
+    if budget is None:
+        return cut
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        keep = F.when(acc["at"] < budget, F.concat(acc["out"], F.array(F.slice(t, F.lit(1), F.greatest(F.lit(0), F.least(F.size(t), F.lit(budget) - acc["at"])))))).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.size(t)).alias("at"), keep.alias("out"))
+
+    return cut.select("paragraph_id", F.aggregate("t", zero, step)["out"].alias("t"))
+
+
 def boundaries(lines: DataFrame, budget: int | None, tokenizer: Tokenizer = words) -> DataFrame:
     """(paragraph_id, line_no, tokens): lines cut at ``budget`` tokens of their paragraph.
 
     A line that begins at or past the budget ends the paragraph, one that straddles it is clipped, one without tokens
     before it stays.
     """
-    tok = F.transform(F.array_compact("lines"), lambda x: tokenizer(x))
-    cut = lines.select("paragraph_id", tok.alias("t"))
-    if budget is not None:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out"))
+    return _cut(lines, budget, tokenizer).select("paragraph_id", F.posexplode("t").alias("line_no", "tokens"))
 
-        def step(acc: Column, t: Column) -> Column:
-            keep = F.when(acc["at"] < budget, F.concat(acc["out"], F.array(F.slice(t, F.lit(1), F.greatest(F.lit(0), F.least(F.size(t), F.lit(budget) - acc["at"])))))).otherwise(acc["out"])
-            return F.struct((acc["at"] + F.size(t)).alias("at"), keep.alias("out"))
 
-        cut = cut.select("paragraph_id", F.aggregate("t", zero, step)["out"].alias("t"))
-    return cut.select("paragraph_id", F.posexplode("t").alias("line_no", "tokens"))
+def flattened(lines: DataFrame, budget: int | None, tokenizer: Tokenizer = words) -> DataFrame:
+    """(paragraph_id, tokens, spans): the cut paragraph as one array of tokens, and (start, end) of each line in it (end excluded)."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    step = lambda acc, t: F.struct((acc["at"] + F.size(t)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.size(t)).alias("end")))).alias("out"))
+    return _cut(lines, budget, tokenizer).select("paragraph_id", F.flatten("t").alias("tokens"), F.aggregate("t", zero, step)["out"].alias("spans"))
 
 
 def masked_positions(paragraphs: DataFrame, n_passes: int = 1, seed: int = SEED, limit: int | None = None, line_ratio: float = LINE_RATIO, token_ratio: float = TOKEN_RATIO, tokenizer: Tokenizer = words) -> DataFrame:
@@ -62,12 +74,7 @@ def masked_positions(paragraphs: DataFrame, n_passes: int = 1, seed: int = SEED,
     """
     budget = None if limit is None else limit - RESERVED
     # The lines of a paragraph are kept together; cutting is per row as well.
-    tok = F.transform(F.array_compact("lines"), lambda x: tokenizer(x))
-    rows = paragraphs.select("paragraph_id", tok.alias("t"))
-    if budget is not None:
-        sizes = F.transform("t", lambda x: F.size(x))
-        before = F.transform("t", lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b))
-        rows = rows.select("paragraph_id", F.filter(F.transform("t", lambda x, i: F.slice(x, F.lit(1), F.greatest(F.lit(0), F.least(F.size(x), F.lit(budget) - F.get(before, i))))), lambda x, i: F.get(before, i) < budget).alias("t"))
+    rows = _cut(paragraphs, budget, tokenizer)
     each = rows.select("paragraph_id", "t", F.explode(F.sequence(F.lit(0), F.lit(n_passes - 1))).alias("pass"))
     line_key = lambda i: shuffled(F.lit(seed), F.concat_ws(":", F.col("pass"), F.col("paragraph_id"), i))
     chosen = each.select("paragraph_id", "pass", "t", F.explode(_pick(F.size("t"), line_ratio, line_key)).alias("line_no"))

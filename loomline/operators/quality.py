@@ -41,6 +41,7 @@ LABEL_RULES = (
     Rule("repeated_labels", "cast(repeats as double)", 0.0),
     Rule("missing_labels", "cast(missing as double)", 0.0, hard=True),
 )
+TRAINING_RULES = (Rule("training_failed", "cast(training_failed as double)", 0.0, hard=True),)
 LENGTH_RULES = (
     Rule("longest", _share("max", "max_tokens"), float(LENGTH_FACTOR), hard=True),
     Rule("p95", _share("p95", "max_tokens"), 1.0),

@@ -11,6 +11,8 @@ from loomline.functions.text import words
 from loomline.operators.ranking import top_rows
 
 TOP_K = (5, 9, 12)
+#: Keys that rows without a visible token before are spread over.
+NULL_KEYS = 4096
 #: Faulty ids that are listed of each fold.
 LISTED = 5
 #: Streams of a split, normal ids first.
@@ -36,27 +38,32 @@ class BigramScorer:
         order = [F.col("n").desc(), F.col("token")]
         pairs = tokens.select(F.posexplode("t").alias("i", "token"), "t").select(F.get("t", F.col("i") - 1).alias("previous"), "token", "i")
         follow = pairs.where("i > 0").groupBy("previous", "token").agg(F.count(F.lit(1)).alias("n"))
-        self.follow = top_rows(follow, ["previous"], order, most, F.col("token"), "hit_rank").select("previous", "token", "hit_rank")
+        best = top_rows(follow, ["previous"], order, most, F.col("token"), "hit_rank")
+        # A row per token before, with its candidates in order (``most`` at most).
+        self.follow = best.groupBy("previous").agg(F.transform(F.sort_array(F.collect_list(F.struct("hit_rank", "token"))), lambda x: x["token"]).alias("next"))
         # The window has no key, but sees ``most`` rows.
         alone = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        self.alone = alone.orderBy(*order).limit(most).select("token", F.row_number().over(Window.orderBy(*order)).alias("alone_rank"))
+        first = alone.orderBy(*order).limit(most).withColumn("alone_rank", F.row_number().over(Window.orderBy(*order)))
+        self.alone = first.agg(F.transform(F.sort_array(F.collect_list(F.struct("alone_rank", "token"))), lambda x: x["token"]).alias("alone"))
 
     def rank(self, masked: DataFrame, most: int) -> DataFrame:
-        known = self.follow.select("previous").distinct().withColumn("seen", F.lit(True))
-        found = masked.join(known, "previous", "left").join(self.follow, ["previous", "token"], "left").join(F.broadcast(self.alone), "token", "left")
-        rank = F.when(F.col("seen"), F.col("hit_rank")).otherwise(F.col("alone_rank"))
-        return found.withColumn("hit_rank", F.when(rank <= most, rank)).drop("seen", "alone_rank")
+        # Most tokens before are hidden and null: their rows are spread over keys that no token has (a word holds no line break).
+        spread = F.concat(F.lit("\n"), F.pmod(F.xxhash64(*(c for c in masked.columns if c != "previous")), F.lit(NULL_KEYS)).cast("string"))
+        found = masked.withColumn("_key", F.coalesce("previous", spread)).join(self.follow.withColumnRenamed("previous", "_key"), "_key", "left")
+        found = found.crossJoin(F.broadcast(self.alone))  # one row
+        rank = F.array_position(F.coalesce("next", "alone"), F.col("token")).cast("int")
+        return found.withColumn("hit_rank", F.when((rank > 0) & (rank <= most), rank)).drop("_key", "next", "alone")
 
 
-def pooled_accuracy(paragraphs: DataFrame, ranked: DataFrame, top_k: tuple[int, ...] = TOP_K, n_passes: int = 1) -> DataFrame:
-    """(paragraph_id, label, top_k, accuracy, n_masked_total, n_passes) over all passes of each of ``paragraphs``.
+def pooled_accuracy(paragraphs: DataFrame, ranked: DataFrame, top_k: tuple[int, ...] = TOP_K, n_passes: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(paragraph_id, label, top_k, accuracy, n_masked_total, n_passes) over all passes of each of ``paragraphs``, and its columns ``keep``.
 
     The candidates' order is found once; each k is a prefix of it. A paragraph without masked tokens has accuracy 1.
     """
     hits = ranked.groupBy("paragraph_id").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("hit_rank") <= k).alias(f"k{k}") for k in top_k))
     rows = F.array(*(F.struct(F.lit(k).alias("top_k"), F.coalesce(F.col(f"k{k}") / F.col("n"), F.lit(1.0)).alias("accuracy")) for k in top_k))
-    joined = paragraphs.select("paragraph_id", "label").join(hits, "paragraph_id", "left")
-    return joined.select("paragraph_id", "label", F.explode(rows).alias("r"), F.coalesce("n", F.lit(0)).alias("n_masked_total")).select("paragraph_id", "label", "r.top_k", "r.accuracy", "n_masked_total", F.lit(n_passes).alias("n_passes"))
+    joined = paragraphs.select("paragraph_id", "label", *keep).join(hits, "paragraph_id", "left")
+    return joined.select("paragraph_id", "label", *keep, F.explode(rows).alias("r"), F.coalesce("n", F.lit(0)).alias("n_masked_total")).select("paragraph_id", "label", "r.top_k", "r.accuracy", "n_masked_total", *keep, F.lit(n_passes).alias("n_passes"))
 
 
 def overall_accuracy(ranked: DataFrame, top_k: int = 1) -> DataFrame:

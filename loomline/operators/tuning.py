@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.numeric import ratio
 
 METRICS = ("precision", "recall", "f1", "specificity")
+COUNTS = ("tp", "fp", "tn", "fn")
+#: Values of k that scores may have.
+MAX_TOP_K = 1000
+#: A model whose last training accuracy is below this is not used.
+LEAST_TOP1 = 0.5
 
 
 def grid(spark, top_k: list[int], thresholds: list[float]) -> DataFrame:
@@ -21,12 +26,30 @@ def predicted(accuracy: Column | str, threshold: Column | str) -> Column:
     return (col(accuracy) < col(threshold)).cast("int")
 
 
+def _counts(only: Column | None = None) -> dict[str, Column]:
+    """tp, fp, tn, fn of label and prediction, over the rows where ``only`` holds."""
+    n = lambda a, b: F.count_if((F.col("label") == a) & (F.col("prediction") == b) & (F.lit(True) if only is None else only))
+    return dict(zip(COUNTS, (n(1, 1), n(0, 1), n(0, 0), n(1, 0))))
+
+
+def _rates(prefix: str = "") -> dict[str, Column]:
+    """Precision, recall, F1 and specificity of counts named with ``prefix``, 0 where a denominator is."""
+    tp, fp, tn, fn = (F.col(prefix + c) for c in COUNTS)
+    p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
+    return dict(zip(METRICS, (p, r, ratio(2 * p * r, p + r), ratio(tn, tn + fp))))
+
+
 def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
-    """tp, fp, tn, fn and what follows from them, 0 where a denominator is. Needs label and prediction."""
-    n = lambda a, b: F.count_if((F.col("label") == a) & (F.col("prediction") == b))
-    counts = df.groupBy(*keys).agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(0, 0).alias("tn"), n(1, 0).alias("fn"))
-    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return counts.withColumns({"precision": p, "recall": r, "f1": ratio(2 * p * r, p + r), "specificity": ratio(F.col("tn"), F.col("tn") + F.col("fp"))})
+    """tp, fp, tn, fn and what follows from them. Needs label and prediction."""
+    return df.groupBy(*keys).agg(*(c.alias(n) for n, c in _counts().items())).withColumns(_rates())
+
+
+def scored_k(scores: DataFrame) -> list[int]:
+    """The values of k in ``scores``, in order; more than MAX_TOP_K raise."""
+    found = sorted(r[0] for r in scores.where("top_k is not null").select("top_k").distinct().limit(MAX_TOP_K + 1).collect())
+    if len(found) > MAX_TOP_K:
+        raise ValueError(f"more than {MAX_TOP_K} values of k")
+    return found
 
 
 def accuracy_at(records: Column | str, k: Column | int) -> Column:
@@ -37,10 +60,54 @@ def accuracy_at(records: Column | str, k: Column | int) -> Column:
     return F.when(F.size(hit) > 0, F.get(hit, 0)["accuracy"]).otherwise(F.raise_error(F.concat(F.lit("no accuracy for k = "), k.cast("string"), F.lit("; there is "), there)).cast("double"))
 
 
+def _each_cell(scores: DataFrame, cells: DataFrame) -> DataFrame:
+    """Scores at every cell of their k, with the prediction; those of a k outside the grid once, without threshold."""
+    return scores.join(F.broadcast(cells), "top_k", "left").withColumn("prediction", predicted("accuracy", "threshold"))
+
+
+def _grid_k(cells: DataFrame) -> Column:
+    """The values of k of a grid (a few dozen rows)."""
+    return F.array(*(F.lit(k).cast("int") for k in sorted({r[0] for r in cells.select("top_k").collect()})))
+
+
+def _scored(k: Column, wanted: Column, there: Column) -> Column:
+    """``k``, if all of ``wanted`` are ``there``; else raises, naming both."""
+    lost = F.array_except(wanted, there)
+    text = lambda x: F.array_join(F.array_sort(x).cast("array<string>"), ", ")
+    return F.when(F.size(lost) == 0, k).otherwise(F.raise_error(F.concat(F.lit("no accuracy for k = "), text(lost), F.lit("; there is "), text(there))).cast("int"))
+
+
 def grid_metrics(scores: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Metrics of every cell. ``scores``: keys, paragraph_id, label, top_k, accuracy; ``cells`` is a grid of fixed size."""
-    each = scores.join(F.broadcast(cells), "top_k")
-    return metrics(each.withColumn("prediction", predicted("accuracy", "threshold")), [*keys, "top_k", "threshold"])
+    """Metrics of every cell. ``scores``: keys, paragraph_id, label, top_k, accuracy; ``cells`` is a grid of fixed size.
+
+    A k of the grid that some key was not scored with raises; without any scores the result is empty.
+    """
+    measured = metrics(_each_cell(scores, cells), [*keys, "top_k", "threshold"])
+    # The cells of one key, which are few.
+    there = F.collect_set(F.when(F.col("threshold").isNotNull(), F.col("top_k").cast("int"))).over(Window.partitionBy(*keys))
+    checked = measured.withColumn("_there", there).where("threshold is not null or size(_there) = 0")
+    return checked.withColumn("top_k", _scored(F.col("top_k"), _grid_k(cells), F.col("_there"))).drop("_there")
+
+
+def tuned_metrics(scores: DataFrame, cells: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
+    """Test metrics of each fold at the cell its tuning scores choose, as :func:`grid_metrics`, :func:`best_cell` and :func:`fold_metrics` give.
+
+    ``scores``: keys, split (tune, test), label, top_k, accuracy. Both splits are counted at every cell in one pass, so
+    scores are computed once. F1 is compared to ``digits`` places. A fold without scores of either split gives no row;
+    a k of the grid that a fold was not scored with raises.
+    """
+    tune, test = F.col("split") == "tune", F.col("split") == "test"
+    both = {f"{s}_{n}": c for s, on in (("tune", tune), ("test", test)) for n, c in _counts(on).items()}
+    # Of a k outside the grid there is no prediction and so no count.
+    cell = _each_cell(scores.where(tune | test), cells).groupBy(*keys, "top_k", "threshold").agg(*(c.alias(n) for n, c in both.items()))
+    total = lambda s: sum((F.col(f"{s}_{c}") for c in COUNTS[1:]), F.col(f"{s}_{COUNTS[0]}"))
+    rated = cell.withColumn("f1", F.round(_rates("tune_")["f1"], digits))
+    at = F.struct(F.col("f1"), (-F.col("top_k")).alias("k"), F.col("threshold"), *(F.col(f"test_{c}") for c in COUNTS))
+    there = F.collect_set(F.when(F.col("threshold").isNotNull(), F.col("top_k").cast("int")))
+    best = rated.groupBy(*keys).agg(F.max(F.when(total("tune") > 0, at)).alias("b"), there.alias("_there"))
+    k = _scored((-F.col("b.k")).cast("int"), _grid_k(cells), F.col("_there"))
+    out = best.select(*keys, k.alias("top_k"), F.col("b.threshold").alias("best_threshold"), *(F.col(f"b.test_{c}").alias(f"test_{c}") for c in COUNTS))
+    return out.where(total("test") > 0).select(*keys, "top_k", "best_threshold", *(F.col(f"test_{c}").alias(c) for c in COUNTS)).withColumns(_rates())
 
 
 def best_cell(measured: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,6 +154,19 @@ def last_accuracy(log: DataFrame, keys: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(F.coalesce(value, F.lit(0.0)).alias("train_top1_acc"))
 
 
+def training_gate(log: DataFrame, keys: list[str], least: float = LEAST_TOP1) -> DataFrame:
+    """keys, train_top1_acc (the last, 0 without any) and training_failed: whether it is below ``least``.
+
+    The report is a table of its own, so it can be stored before anything raises on it.
+    """
+    return last_accuracy(log, keys).withColumn("training_failed", F.col("train_top1_acc") < least)
+
+
+def rate_subset(train: DataFrame, pos: str = "pos", most: int = 500) -> DataFrame:
+    """The rows a search of learning rates trains on: the first ``most`` of the training order."""
+    return train.where(F.col(pos) < most)
+
+
 def best_rate(trials: DataFrame, keys: list[str]) -> DataFrame:
     """The learning rate of least loss, the smaller of ties."""
     return trials.groupBy(*keys).agg(F.min(F.struct("loss", "lr")).alias("b")).select(*keys, F.col("b.lr").alias("lr"), F.col("b.loss").alias("loss"))

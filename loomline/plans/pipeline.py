@@ -128,15 +128,18 @@ def score(spark: SparkSession, prepared: str, splits: DataFrame, fold_id: int, s
     return spark.read.parquet(f"{out}/scores_fold_{fold_id}")
 
 
-def evaluate(scores: DataFrame, thresholds: list[float], n_folds: int, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per fold metrics at its own operating point, and their spread. ``scores``: keys, fold_id, split, ...; a fold without scores raises."""
+def evaluate(scores: DataFrame, thresholds: list[float], n_folds: int, keys: list[str] | None = None, top_k: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per fold metrics at its own operating point, and their spread. ``scores``: keys, fold_id, split, ...
+
+    A fold without scores raises, and so does a k of ``top_k`` (those scored, if None) that was not scored.
+    """
     keys = keys or []
     lost = [r[0] for r in tuning.missing_folds(scores.select("fold_id").distinct(), n_folds).collect()]
     if lost:
         raise ValueError(f"no scores of folds {lost}")
-    cells = tuning.grid(scores.sparkSession, [r[0] for r in scores.select("top_k").distinct().orderBy("top_k").limit(1000).collect()], thresholds)
-    best = tuning.best_cell(tuning.grid_metrics(scores.where("split = 'tune'"), cells, [*keys, "fold_id"]), [*keys, "fold_id"])
-    measured = tuning.fold_metrics(scores.where("split = 'test'"), best, [*keys, "fold_id"])
+    known = tuning.scored_k(scores)
+    cells = tuning.grid(scores.sparkSession, known if top_k is None else top_k, thresholds)
+    measured = tuning.tuned_metrics(scores, cells, [*keys, "fold_id"])
     return measured, tuning.across_folds(measured, keys)
 
 

@@ -47,7 +47,8 @@ def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
 def _session_lines(spark: SparkSession, d: str) -> DataFrame:
     """The lines of session paragraphs as one log: line_no by paragraph and place."""
     p = _paragraphs(spark, d).where("dataset = 'hdfs' and lines is not null")
-    return p.select("ord", F.posexplode("lines").alias("at", "text")).select((F.col("ord") * 1_000_000 + F.col("at")).alias("line_no"), "text")
+    # An array has fewer than 2^31 elements.
+    return p.select("ord", F.posexplode("lines").alias("at", "text")).select((F.col("ord") * 2**31 + F.col("at")).alias("line_no"), "text")
 
 
 def _session_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +68,7 @@ _WIN = f"""{_PARSED}, good as (select *, case when w[1] <> '-' then 1 else 0 end
  siz as (select window_id, count(*) n_lines, max(anomaly) label, sum(anomaly) n_anomalous, cast(min(ts) as double) start_timestamp from win group by 1)"""
 _P = "par as (select distinct on (paragraph_id) * from paragraphs)"
 _PW = "pw as (select *, case when lines is null then 0 else len(regexp_extract_all(array_to_string(lines, chr(10)), '\\S+')) end words, case when coalesce(len(list_filter(lines, lambda x: x is not null)), 0) < 1 then 2 else 1 + len(regexp_extract_all(array_to_string(lines, chr(10)), '\\S+')) + len(list_filter(lines, lambda x: x is not null)) end tokens from par)"
-_SES = "ses as (select ord * 1000000 + nth - 1 line_no, text from (select ord, unnest(lines) text, generate_subscripts(lines, 1) nth from (select * from par where dataset = 'hdfs' and lines is not null)))"
+_SES = "ses as (select ord * 2147483648 + nth - 1 line_no, text from (select ord, unnest(lines) text, generate_subscripts(lines, 1) nth from (select * from par where dataset = 'hdfs' and lines is not null)))"
 _MEN = rf"men as (select line_no, text, block_id, min(pos) - 1 pos from (select line_no, text, unnest(regexp_extract_all(text, '\bblk_-?\d+\b')) block_id, generate_subscripts(regexp_extract_all(text, '\bblk_-?\d+\b'), 1) pos from ses) group by 1, 2, 3)"
 
 
@@ -453,7 +454,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     paragraphs = _paragraphs(spark, d).where("label is not null")
-    return scoring.pooled_accuracy(paragraphs, _ranked(spark, d)).join(paragraphs.select("paragraph_id", "dataset"), "paragraph_id")
+    return scoring.pooled_accuracy(paragraphs, _ranked(spark, d), keep=("dataset",))
 
 
 @_query(f"with {_SCORE} select paragraph_id, label, top_k, round(accuracy, 9) accuracy, n_masked_total from sc")
@@ -496,17 +497,15 @@ _EVAL = f"""{_SCORE}, th(threshold) as (values {_THETA}), fx as (select distinct
  fm as (select artifact_id, fold_id, top_k, round(threshold, 6) best_threshold, tp, fp, tn, fn, {_MET[0]} as precision, {_MET[1]} recall, {_MET[2]} f1, {_MET[3]} specificity from tc)"""
 
 
-def _fold_scores(spark: SparkSession, d: str, prefix: str) -> DataFrame:
-    ids = table(spark, d, "fold_splits").where(F.col("stream").startswith(prefix)).select("artifact_id", "fold_id", "stream", "paragraph_id").distinct()
+def _fold_scores(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "fold_splits").withColumn("split", F.split_part("stream", F.lit("_"), F.lit(1))).where("split in ('tune', 'test')").select("artifact_id", "fold_id", "stream", "split", "paragraph_id").distinct()
     return ids.join(_scores(spark, d), "paragraph_id")
 
 
 def _fold_metrics(spark: SparkSession, d: str) -> DataFrame:
     keys = ["artifact_id", "fold_id"]
     cells = tuning.grid(spark, list(scoring.TOP_K), numeric.threshold_grid(TOP1))
-    measured = tuning.grid_metrics(_fold_scores(spark, d, "tune"), cells, keys).withColumn("f1", F.round("f1", 9))
-    best = tuning.best_cell(measured, keys)
-    return tuning.fold_metrics(_fold_scores(spark, d, "test"), best, keys).withColumns({c: F.round(c, 9) for c in tuning.METRICS} | {"best_threshold": F.round("best_threshold", 6)})
+    return tuning.tuned_metrics(_fold_scores(spark, d), cells, keys).withColumns({c: F.round(c, 9) for c in tuning.METRICS} | {"best_threshold": F.round("best_threshold", 6)})
 
 
 @_query(f"with {_EVAL} select * from fm")
