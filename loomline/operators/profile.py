@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.numeric import ratio
 from loomline.functions.text import word_count, words
+from loomline.sources.shared import written
 
 # Backbones by a part of their name, with limits and batch sizes.
 LONG_MARK = "longformer"
@@ -43,6 +44,38 @@ def length_distribution(df: DataFrame, value: str, group: list[str] | None = Non
     return out.select(*group, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("lo", F.lit(0)).alias("min"), F.coalesce("hi", F.lit(0)).alias("max"), *(at(i).alias(f"p{q}") for i, q in enumerate((50, 80, 95, 99))))
 
 
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """(v, k): distinct values of a number column and their rows, written once for several readers."""
+    return written(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k")), "values")
+
+
+def quantiles(counts: DataFrame, shares: tuple[float, ...], buckets: int = 4096) -> DataFrame:
+    """One row with ``p``: exact interpolated quantiles of :func:`value_counts`, in the order of ``shares``; null entries without values.
+
+    The range of the values is cut into buckets, whose totals tell which of them hold the ranks asked for; only the
+    values of those are put in order, so neither one task nor the driver holds all values.
+    """
+    counted = counts.select(F.col("v").alias("_v"), F.col("k").alias("_k"))
+    span = counted.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_k").alias("_n"))  # one row
+    place = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    cut = counted.crossJoin(F.broadcast(span)).withColumn("_b", F.least(F.floor(place * buckets), F.lit(buckets - 1)).cast("int"))
+    sums = cut.groupBy("_b").agg(F.sum("_k").alias("_s"), F.first("_n").alias("_n"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # ``buckets`` rows
+    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(upto), F.lit(0)))
+    at = [(F.floor(s * (F.col("_n") - 1)), F.ceil(s * (F.col("_n") - 1)), F.lit(s) * (F.col("_n") - 1)) for s in shares]
+    holds = F.lit(False)
+    for low, high, _ in at:
+        for i in (low, high):
+            holds = holds | ((F.col("_base") <= i) & (i < F.col("_base") + F.col("_s")))
+    hit = base.where(holds).select("_b", "_base")  # at most two a share
+    order = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.join(F.broadcast(hit), "_b").withColumn("_to", F.col("_base") + F.sum("_k").over(order))
+    value_at = lambda i: F.min(F.when(F.col("_to") > i, F.col("_v")))
+    out = placed.agg(F.first("_n").alias("_n"), *(value_at(i).alias(f"_{side}{n}") for n, (low, high, _) in enumerate(at) for side, i in (("l", low), ("h", high))))
+    between = [F.col(f"_l{n}") + (F.col(f"_h{n}") - F.col(f"_l{n}")) * (exact - F.floor(exact)) for n, (_, _, exact) in enumerate(at)]
+    return out.select(F.array(*between).alias("p"))
+
+
 def label_counts(paragraphs: DataFrame, group: list[str]) -> DataFrame:
     """Paragraphs, normal and anomalous ones and the share of the latter."""
     normal, anomaly = F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)
@@ -138,9 +171,11 @@ def anomaly_positions(placed: DataFrame, least: int = 2) -> DataFrame:
 
 def position_stats(positions: DataFrame) -> DataFrame:
     """Quartiles and mean of positions, and the shares within the first tenth and quarter; 0 without any."""
-    p = F.percentile("position", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = positions.agg(F.count(F.lit(1)).alias("n"), p.alias("p"), F.avg("position").alias("mean"), *(F.avg((F.col("position") <= t).cast("int")).alias(f"within_{int(t * 100)}") for t in EARLY))
+    counts = value_counts(positions, "position")
+    mean = lambda c: F.try_divide(F.sum(c * F.col("k")), F.sum("k"))
+    out = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), mean(F.col("v")).alias("mean"), *(mean((F.col("v") <= t).cast("int")).alias(f"within_{int(t * 100)}") for t in EARLY))
+    out = out.crossJoin(quantiles(counts, (0.25, 0.5, 0.75)))  # one row beside one row
     verdict = F.lit(LAST_VERDICT)
     for most, name in reversed(VERDICTS):
         verdict = F.when(F.col("p50") < most, name).otherwise(verdict)
@@ -157,6 +192,10 @@ def position_histogram(positions: DataFrame) -> DataFrame:
 
 def anomaly_density(windowed_sizes: DataFrame, least: int = 2) -> DataFrame:
     """Over anomalous windows (n_lines, n_anomalous): density mean and median, lines mean, median and maximum."""
-    some = windowed_sizes.where((F.col("n_anomalous") > 0) & (F.col("n_lines") >= least)).withColumn("density", F.col("n_anomalous") / F.col("n_lines"))
+    some = windowed_sizes.where((F.col("n_anomalous") > 0) & (F.col("n_lines") >= least)).select("n_lines", (F.col("n_anomalous") / F.col("n_lines")).alias("density"))
+    some = written(some, "windows")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return some.agg(F.count(F.lit(1)).alias("windows"), zero(F.avg("density")).alias("density_mean"), zero(F.percentile("density", F.lit(0.5))).alias("density_median"), zero(F.avg("n_lines")).alias("lines_mean"), zero(F.percentile("n_lines", F.lit(0.5))).alias("lines_median"), F.coalesce(F.max("n_lines"), F.lit(0)).alias("lines_max"))
+    out = some.agg(F.count(F.lit(1)).alias("windows"), zero(F.avg("density")).alias("density_mean"), zero(F.avg("n_lines")).alias("lines_mean"), F.coalesce(F.max("n_lines"), F.lit(0)).alias("lines_max"))
+    for name in ("density", "n_lines"):
+        out = out.crossJoin(quantiles(value_counts(some, name), (0.5,)).select(zero(F.get("p", F.lit(0))).alias(f"{name.removeprefix('n_')}_median")))  # one row beside one row
+    return out.select("windows", "density_mean", "density_median", "lines_mean", "lines_median", "lines_max")

@@ -32,6 +32,20 @@ def shuffle_rank(df: DataFrame, group: list[str], seed: Column, key: str, alias:
     return joined.withColumn(alias, F.col("_base") + F.row_number().over(within) - 1).drop("_order", "_bucket", "_base", "_cut", *own)
 
 
+def first_rows(df: DataFrame, group: list[str], seed: Column, key: str, most: Column, alias: str) -> DataFrame:
+    """The rows that :func:`shuffle_rank` ranks below ``most`` (one number a group), with that rank.
+
+    Buckets are counted where the rows lie; only the rows of those that reach below ``most`` are moved and ordered.
+    """
+    marked = df.withColumn("_order", shuffled(seed, F.col(key))).withColumns({"_bucket": F.substring("_order", 1, _DIGITS), "_most": most})
+    counts = marked.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_most").alias("_need"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where("_base < _need").select(*group, "_bucket", "_base")
+    within = Window.partitionBy(*group, "_bucket").orderBy("_order", key)
+    ranked = marked.join(base, [*group, "_bucket"]).withColumn(alias, F.col("_base") + F.row_number().over(within) - 1)
+    return ranked.where(F.col(alias) < F.col("_most")).drop("_order", "_bucket", "_base", "_most")
+
+
 def top_rows(df: DataFrame, group: list[str], order: list[Column], k: int, salt: Column, alias: str, salts: int = 32) -> DataFrame:
     """The first ``k`` rows of each group with their rank (from 1). Salted first, so a large group is cut down before it meets."""
     part = Window.partitionBy(*group, "_salt").orderBy(*order)

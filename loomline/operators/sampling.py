@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.ranking import shuffle_rank
+from loomline.operators.ranking import first_rows, shuffle_rank
 
 # What is added to a seed for each stream.
 CAP_ANOMALY, TRAIN, TUNE_NORMAL, TUNE_ANOMALY, TEST_ANOMALY = 1000, 0, 2000, 3000, 4000
@@ -32,9 +32,8 @@ def capped(paragraphs: DataFrame, caps: DataFrame, group: list[str]) -> DataFram
     checked = caps.withColumn("max_normal", F.when(small < 0, F.raise_error(F.lit("a cap is negative"))).otherwise(F.col("max_normal")))
     joined = paragraphs.where("label is not null").join(checked.select(*group, "seed", "max_normal", "max_anomaly"), group)
     seed = F.col("seed") + F.when(F.col("label") == 1, CAP_ANOMALY).otherwise(0)
-    ranked = shuffle_rank(joined, [*group, "label"], seed, "paragraph_id", "_rank")
     cap = F.when(F.col("label") == 0, F.col("max_normal")).otherwise(F.col("max_anomaly"))
-    return ranked.where(F.col("_rank") < F.coalesce(cap, F.lit(2**62))).drop("_rank", "seed", "max_normal", "max_anomaly")
+    return first_rows(joined, [*group, "label"], seed, "paragraph_id", F.coalesce(cap, F.lit(2**62)), "_rank").drop("_rank", "seed", "max_normal", "max_anomaly")
 
 
 def cap_summary(paragraphs: DataFrame, caps: DataFrame, group: list[str]) -> DataFrame:
@@ -63,16 +62,15 @@ def shares(pool: Column, a: Column, b: Column) -> tuple[Column, Column]:
     return first, F.when(short, pool - first).otherwise(b)
 
 
-def _carve(pool: DataFrame, key: list[str], budgets: tuple[str, str], offsets: tuple[int, int], streams: tuple[str, str]) -> DataFrame:
-    """Two disjoint streams of each fold's pool: the first of one order, then the first of another order without those."""
-    sized = pool.join(pool.groupBy(*key).agg(F.count(F.lit(1)).alias("_pool")), key)
-    first, second = shares(F.col("_pool"), F.col(budgets[0]), F.col(budgets[1]))
-    sized = sized.withColumn("_first", first).withColumn("_second", second)
-    one = shuffle_rank(sized, key, _seed(offsets[0], F.col("fold_id")), "paragraph_id", "pos")
-    rest = shuffle_rank(one.where("pos >= _first").drop("pos"), key, _seed(offsets[1], F.col("fold_id")), "paragraph_id", "pos")
-    names = [*key, "pos", "paragraph_id"]
-    taken = one.where("pos < _first").select(F.lit(streams[0]).alias("stream"), *names)
-    return taken.unionByName(rest.where("pos < _second").select(F.lit(streams[1]).alias("stream"), *names))
+def _carve(pool: DataFrame, key: list[str], offsets: tuple[int, int], streams: tuple[str, str]) -> DataFrame:
+    """Two disjoint streams of each fold's pool: the first ``_first`` of one order, then the first ``_second`` of another without those."""
+    seeds = [_seed(x, F.col("fold_id")) for x in offsets]
+    one = first_rows(pool, key, seeds[0], "paragraph_id", F.col("_first"), "pos").select(*key, "pos", "paragraph_id")
+    # Of the first rows of the other order at most _first are taken, so there are enough among these.
+    near = first_rows(pool, key, seeds[1], "paragraph_id", F.col("_first") + F.col("_second"), "_at").drop("_at")
+    rest = near.join(one.select(*key, "paragraph_id"), [*key, "paragraph_id"], "left_anti")
+    two = first_rows(rest, key, seeds[1], "paragraph_id", F.col("_second"), "pos").select(*key, "pos", "paragraph_id")
+    return one.select(F.lit(streams[0]).alias("stream"), "*").unionByName(two.select(F.lit(streams[1]).alias("stream"), "*"))
 
 
 def create_splits(paragraphs: DataFrame, plan: DataFrame, group: list[str]) -> DataFrame:
@@ -81,19 +79,27 @@ def create_splits(paragraphs: DataFrame, plan: DataFrame, group: list[str]) -> D
     ``plan``: group, seed, n_folds and the four budgets. A fold's test normals are its own part, in input order (ord);
     its training and tuning normals come from the other parts, its anomalies from all of them.
     """
-    budgets = plan.select(*group, "seed", "n_folds", *BUDGETS)
+    narrow = paragraphs.select(*group, "paragraph_id", "label", "ord")
     low = F.least(*BUDGETS)
-    budgets = budgets.withColumn(BUDGETS[0], F.when(low < 0, F.raise_error(F.lit("a budget is negative"))).otherwise(F.col(BUDGETS[0])))
+    checked = F.when(low < 0, F.raise_error(F.lit("a budget is negative"))).otherwise(F.col(BUDGETS[0]))
+    # Sizes are counted per group; those of folds follow from them.
+    sizes = narrow.groupBy(*group).agg(F.count_if(F.col("label") == 0).alias("_n0"), F.count_if(F.col("label") == 1).alias("_n1"))
+    budgets = plan.select(*group, "seed", "n_folds", *BUDGETS).withColumn(BUDGETS[0], checked).join(sizes, group)
     folds = F.explode(F.sequence(F.lit(0), (F.col("n_folds") - 1).cast("int"))).alias("fold_id")
-    narrow = paragraphs.select(*group, "paragraph_id", "label", "ord")
-    placed = assign_folds(narrow, plan, group).drop("seed", "n_folds").join(budgets, group)
-    spread = placed.select("*", folds)
     key = [*group, "fold_id"]
-    normal = _carve(spread.where("fold <> fold_id"), key, BUDGETS[:2], (TRAIN, TUNE_NORMAL), ("train_normal_ids", "tune_normal_ids"))
-    pool = narrow.where("label = 1").join(budgets, group).select("*", folds)
-    anomaly = _carve(pool, key, BUDGETS[2:], (TUNE_ANOMALY, TEST_ANOMALY), ("tune_anomaly_ids", "test_anomaly_ids"))
-    own = placed.withColumnRenamed("fold", "fold_id")
-    test = own.select(F.lit("test_normal_ids").alias("stream"), *key, F.col("ord").alias("pos"), "paragraph_id")
+    own = F.floor((F.col("_n0") - F.col("fold_id") + F.col("n_folds") - 1) / F.col("n_folds"))
+
+    def pools(size: Column, names: tuple[str, str]) -> DataFrame:
+        """Per fold: its seed and what its two streams take."""
+        first, second = shares(F.col("_pool"), *map(F.col, names))
+        return budgets.select("*", folds).withColumn("_pool", size).select(*key, "seed", first.alias("_first"), second.alias("_second"))
+
+    placed = assign_folds(narrow, plan, group).select(*group, "paragraph_id", "ord", "fold")
+    others = placed.drop("ord").join(pools(F.col("_n0") - own, BUDGETS[:2]), group).where("fold <> fold_id").drop("fold")
+    normal = _carve(others, key, (TRAIN, TUNE_NORMAL), ("train_normal_ids", "tune_normal_ids"))
+    pool = narrow.where("label = 1").select(*group, "paragraph_id").join(pools(F.col("_n1"), BUDGETS[2:]), group)
+    anomaly = _carve(pool, key, (TUNE_ANOMALY, TEST_ANOMALY), ("tune_anomaly_ids", "test_anomaly_ids"))
+    test = placed.select(F.lit("test_normal_ids").alias("stream"), *group, F.col("fold").alias("fold_id"), F.col("ord").alias("pos"), "paragraph_id")
     seeds = plan.select(*group, F.col("seed").alias("_seed"))
     out = normal.unionByName(anomaly).unionByName(test).join(seeds, group)
     return out.select(*key, (F.col("_seed") + F.col("fold_id")).alias("seed"), "stream", "pos", "paragraph_id")

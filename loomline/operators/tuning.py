@@ -105,9 +105,10 @@ def tuned_metrics(scores: DataFrame, cells: DataFrame, keys: list[str], digits:
     at = F.struct(F.col("f1"), (-F.col("top_k")).alias("k"), F.col("threshold"), *(F.col(f"test_{c}") for c in COUNTS))
     there = F.collect_set(F.when(F.col("threshold").isNotNull(), F.col("top_k").cast("int")))
     best = rated.groupBy(*keys).agg(F.max(F.when(total("tune") > 0, at)).alias("b"), there.alias("_there"))
-    k = _scored((-F.col("b.k")).cast("int"), _grid_k(cells), F.col("_there"))
-    out = best.select(*keys, k.alias("top_k"), F.col("b.threshold").alias("best_threshold"), *(F.col(f"b.test_{c}").alias(f"test_{c}") for c in COUNTS))
-    return out.where(total("test") > 0).select(*keys, "top_k", "best_threshold", *(F.col(f"test_{c}").alias(c) for c in COUNTS)).withColumns(_rates())
+    wanted = _grid_k(cells)
+    k = _scored((-F.col("b.k")).cast("int"), wanted, F.col("_there"))
+    out = best.select(*keys, k.alias("top_k"), F.col("b.threshold").alias("best_threshold"), *(F.col(f"b.test_{c}").alias(f"test_{c}") for c in COUNTS), F.size(F.array_except(wanted, "_there")).alias("_lost"))
+    return out.where((F.col("_lost") > 0) | (total("test") > 0)).select(*keys, "top_k", "best_threshold", *(F.col(f"test_{c}").alias(c) for c in COUNTS)).withColumns(_rates())
 
 
 def best_cell(measured: DataFrame, keys: list[str]) -> DataFrame:

@@ -264,111 +264,66 @@ def anomaly_tokens(spark: SparkSession, d: str) -> DataFrame:
     return profile.own_tokens(v.where("label = 1"), v.where("label = 0"), F.lit(total), 30).withColumn("share", F.round("share", 9))
 
 
-# ---- caps, folds, splits
+# ---- caps, folds, splits: for every artifact, over the paragraphs of its data set and batches
 
-_CAPS = "caps as (select a.dataset, s.seed, s.max_normal, s.max_anomaly from subsample_summaries s join (select distinct on (dataset) * from splits_artifacts order by dataset, artifact_id) a using (artifact_id))"
-_PLAN = "plan as (select distinct on (dataset) * from splits_artifacts order by dataset, artifact_id)"
+_OWN = f"{_P}, own as (select a.artifact_id, p.paragraph_id, p.label, p.ord from par p join splits_artifacts a on p.dataset = a.dataset and p.batch_no between a.batch_from and a.batch_to)"
 
 
-def _plan(spark: SparkSession, d: str) -> DataFrame:
-    """The first artifact of each data set, as the SQL of these queries has it; those named ..._by_artifact run for all."""
-    a = table(spark, d, "splits_artifacts")
-    first = a.groupBy("dataset").agg(F.min("artifact_id").alias("artifact_id"))
-    return a.join(first, ["dataset", "artifact_id"])
+def _own_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs with artifact_id, once for each artifact whose data set and batches hold them."""
+    a = table(spark, d, "splits_artifacts").where("batch_from <= batch_to")
+    # A row per batch, so that the join is on equal keys; an artifact has few batches.
+    batches = a.select("artifact_id", "dataset", F.explode(F.sequence("batch_from", "batch_to")).alias("batch_no"))
+    once = table(spark, d, "paragraphs").select("dataset", "batch_no", "paragraph_id", "label", "ord").dropDuplicates(["paragraph_id"])
+    return once.join(batches, ["dataset", "batch_no"]).select("artifact_id", "paragraph_id", "label", "ord")
 
 
 def _caps(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "subsample_summaries").select("artifact_id", "seed", "max_normal", "max_anomaly")
-    return _plan(spark, d).select("artifact_id", "dataset").join(s, "artifact_id").drop("artifact_id")
+    return table(spark, d, "subsample_summaries").select("artifact_id", "seed", "max_normal", "max_anomaly")
+
 
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "splits_artifacts").drop("dataset")
 
-@_query(f"""with {_P}, {_CAPS}, r as (select dataset, label, paragraph_id, max_normal, max_anomaly, row_number() over (partition by dataset, label order by md5(concat_ws(':', seed + case when label = 1 then 1000 else 0 end, paragraph_id)), paragraph_id) r from par join caps using (dataset) where label is not null)
- select dataset, label, paragraph_id from r where r <= coalesce(case when label = 0 then max_normal else max_anomaly end, r)""")
+
+@_query(f"""with {_OWN}, r as (select artifact_id, label, paragraph_id, max_normal, max_anomaly, row_number() over (partition by artifact_id, label order by md5(concat_ws(':', seed + case when label = 1 then 1000 else 0 end, paragraph_id)), paragraph_id) r from own join subsample_summaries using (artifact_id) where label is not null)
+ select artifact_id, label, paragraph_id from r where r <= coalesce(case when label = 0 then max_normal else max_anomaly end, r)""")
 def capped_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.capped(_paragraphs(spark, d), _caps(spark, d), ["dataset"]).select("dataset", "label", "paragraph_id")
+    return sampling.capped(_own_paragraphs(spark, d).select("artifact_id", "label", "paragraph_id"), _caps(spark, d), ["artifact_id"])
 
 
-@_query(f"""with {_P}, {_CAPS}, c as (select dataset, count(*) filter (label = 0) n, count(*) filter (label = 1) a, any_value(max_normal) mn, any_value(max_anomaly) ma from par join caps using (dataset) group by 1)
- select dataset, n input_normal, a input_anomaly, least(n, coalesce(mn, n)) output_normal, least(a, coalesce(ma, a)) output_anomaly, least(n, coalesce(mn, n)) < n normal_was_capped, least(a, coalesce(ma, a)) < a anomaly_was_capped from c""")
+@_query(f"""with {_OWN}, c as (select artifact_id, count(*) filter (label = 0) n, count(*) filter (label = 1) a, any_value(max_normal) mn, any_value(max_anomaly) ma from own join subsample_summaries using (artifact_id) group by 1)
+ select artifact_id, n input_normal, a input_anomaly, least(n, coalesce(mn, n)) output_normal, least(a, coalesce(ma, a)) output_anomaly, least(n, coalesce(mn, n)) < n normal_was_capped, least(a, coalesce(ma, a)) < a anomaly_was_capped from c""")
 def cap_summary(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.cap_summary(_paragraphs(spark, d), _caps(spark, d), ["dataset"])
+    return sampling.cap_summary(_own_paragraphs(spark, d), _caps(spark, d), ["artifact_id"])
 
 
-_FOLD = f"{_P}, {_PLAN}, nf as (select dataset, paragraph_id, p.ord, plan.*, cast((row_number() over (partition by dataset order by md5(concat_ws(':', seed, paragraph_id)), paragraph_id) - 1) % n_folds as int) fold from par p join plan using (dataset) where p.label = 0)"
+_FOLD = f"{_OWN}, plan as (select * from splits_artifacts), nf as (select p.artifact_id, paragraph_id, p.ord, plan.* exclude (artifact_id), cast((row_number() over (partition by p.artifact_id order by md5(concat_ws(':', seed, paragraph_id)), paragraph_id) - 1) % n_folds as int) fold from own p join plan using (artifact_id) where p.label = 0)"
 
 
-@_query(f"with {_FOLD} select dataset, paragraph_id, fold from nf")
+@_query(f"with {_FOLD} select artifact_id, paragraph_id, fold from nf")
 def fold_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.assign_folds(_paragraphs(spark, d), _plan(spark, d), ["dataset"]).select("dataset", "paragraph_id", "fold")
+    return sampling.assign_folds(_own_paragraphs(spark, d).select("artifact_id", "label", "paragraph_id"), _plan(spark, d), ["artifact_id"]).select("artifact_id", "paragraph_id", "fold")
 
 
 def _carve_sql(pool: str, a: str, b: str, one: int, two: int, streams: tuple[str, str], tag: str) -> str:
-    order = lambda off: f"row_number() over (partition by dataset, fold_id order by md5(concat_ws(':', seed + {off} + fold_id, paragraph_id)), paragraph_id) - 1"
-    return f"""{tag}0 as (select *, count(*) over (partition by dataset, fold_id) pool from {pool}),
+    order = lambda off: f"row_number() over (partition by artifact_id, fold_id order by md5(concat_ws(':', seed + {off} + fold_id, paragraph_id)), paragraph_id) - 1"
+    return f"""{tag}0 as (select *, count(*) over (partition by artifact_id, fold_id) pool from {pool}),
  {tag}1 as (select *, case when pool < {a} + {b} and {a} + {b} > 0 then pool * {a} // ({a} + {b}) else {a} end ea, case when pool < {a} + {b} and {a} + {b} > 0 then pool - pool * {a} // ({a} + {b}) else {b} end eb, {order(one)} pos from {tag}0),
  {tag}2 as (select * exclude (pos), {order(two)} pos from {tag}1 where pos >= ea),
- {tag} as (select '{streams[0]}' stream, dataset, fold_id, seed, pos, paragraph_id from {tag}1 where pos < ea union all select '{streams[1]}', dataset, fold_id, seed, pos, paragraph_id from {tag}2 where pos < eb)"""
+ {tag} as (select '{streams[0]}' stream, artifact_id, fold_id, seed, pos, paragraph_id from {tag}1 where pos < ea union all select '{streams[1]}', artifact_id, fold_id, seed, pos, paragraph_id from {tag}2 where pos < eb)"""
 
 
 _SPLITS = f"""{_FOLD}, nx as (select nf.*, k fold_id from nf, (select unnest(range(100)) k) where k < n_folds and fold <> k),
- ax as (select p.dataset, p.paragraph_id, plan.* exclude (dataset), k fold_id from par p join plan using (dataset), (select unnest(range(100)) k) where k < n_folds and p.label = 1),
+ ax as (select p.artifact_id, p.paragraph_id, plan.* exclude (artifact_id), k fold_id from own p join plan using (artifact_id), (select unnest(range(100)) k) where k < n_folds and p.label = 1),
  {_carve_sql("nx", "train_normal_per_fold", "tune_normal_per_fold", 0, 2000, ("train_normal_ids", "tune_normal_ids"), "nc")},
  {_carve_sql("ax", "tune_anomaly_per_fold", "test_anomaly_per_fold", 3000, 4000, ("tune_anomaly_ids", "test_anomaly_ids"), "ac")},
- spl as (select stream, dataset, cast(fold_id as int) fold_id, seed + fold_id seed, pos, paragraph_id from (select * from nc union all select * from ac union all select 'test_normal_ids', dataset, fold, seed, ord, paragraph_id from nf))"""
+ spl as (select stream, artifact_id, cast(fold_id as int) fold_id, seed + fold_id seed, pos, paragraph_id from (select * from nc union all select * from ac union all select 'test_normal_ids', artifact_id, fold, seed, ord, paragraph_id from nf))"""
 
 
 @_query(f"with {_SPLITS} select * from spl")
 def created_splits(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.create_splits(_paragraphs(spark, d), _plan(spark, d), ["dataset"])
-
-
-# The same for every artifact, each over the paragraphs of its own batches.
-
-_P_OWN = "par as (select p.* replace (a.artifact_id as dataset) from (select distinct on (paragraph_id) * from paragraphs) p join splits_artifacts a on p.dataset = a.dataset and p.batch_no between a.batch_from and a.batch_to)"
-_CAPS_OWN = "caps as (select artifact_id dataset, seed, max_normal, max_anomaly from subsample_summaries)"
-_PLAN_OWN = "plan as (select * replace (artifact_id as dataset) from splits_artifacts)"
-
-
-def _own_sql(name: str) -> str:
-    """The SQL of a query of one artifact a data set, with artifacts in place of data sets."""
-    sql = ORACLE_SQL[name].replace(_P, _P_OWN).replace(_CAPS, _CAPS_OWN).replace(_PLAN, _PLAN_OWN)
-    return f"select dataset artifact_id, * exclude (dataset) from ({sql})"
-
-
-def _own_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs with artifact_id, once for each artifact whose data set and batches hold them."""
-    a = table(spark, d, "splits_artifacts").where("batch_from <= batch_to")
-    # A row per batch, so that the join is on equal keys; an artifact has few batches.
-    batches = a.select("artifact_id", "dataset", F.explode(F.sequence("batch_from", "batch_to")).alias("batch_no"))
-    return _paragraphs(spark, d).join(batches, ["dataset", "batch_no"])
-
-
-def _own_caps(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "subsample_summaries").select("artifact_id", "seed", "max_normal", "max_anomaly")
-
-
-def _own_plan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "splits_artifacts").drop("dataset")
-
-
-@_query(_own_sql("capped_paragraphs"))
-def capped_paragraphs_by_artifact(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.capped(_own_paragraphs(spark, d).select("artifact_id", "label", "paragraph_id"), _own_caps(spark, d), ["artifact_id"])
-
-
-@_query(_own_sql("cap_summary"))
-def cap_summary_by_artifact(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.cap_summary(_own_paragraphs(spark, d), _own_caps(spark, d), ["artifact_id"])
-
-
-@_query(_own_sql("fold_assignment"))
-def fold_assignment_by_artifact(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.assign_folds(_own_paragraphs(spark, d).select("artifact_id", "label", "paragraph_id"), _own_plan(spark, d), ["artifact_id"]).select("artifact_id", "paragraph_id", "fold")
-
-
-@_query(_own_sql("created_splits"))
-def created_splits_by_artifact(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.create_splits(_own_paragraphs(spark, d), _own_plan(spark, d), ["artifact_id"])
+    return sampling.create_splits(_own_paragraphs(spark, d), _plan(spark, d), ["artifact_id"])
 
 
 _FS = "fs as (select distinct artifact_id, fold_id, stream, pos, paragraph_id from fold_splits)"

@@ -28,7 +28,6 @@ def several(spark, tmp_path_factory):
 def test_every_artifact_over_its_own_batches(spark, several, name):
     import duckdb
 
-    name = f"{name}_by_artifact"
     con = duckdb.connect()
     for t in ("paragraphs", "splits_artifacts", "subsample_summaries"):
         con.execute(f"create view {t} as select * from read_parquet('{several}/{t}.parquet/*.parquet')")
@@ -40,7 +39,7 @@ def test_every_artifact_over_its_own_batches(spark, several, name):
 
 
 def test_counts_by_hand(spark, several):
-    q = lambda name: reference.QUERIES[f"{name}_by_artifact"](spark, several)
+    q = lambda name: reference.QUERIES[name](spark, several)
     got = {r.artifact_id: (r.input_normal, r.input_anomaly, r.output_normal, r.output_anomaly) for r in q("cap_summary").collect()}
     assert got == {"x_0": (30, 10, 7, 2), "x_2": (30, 10, 30, 4), "y_0": (30, 10, 30, 3)}
     capped = {(r.artifact_id, r.label): r["count"] for r in q("capped_paragraphs").groupBy("artifact_id", "label").count().collect()}
@@ -49,3 +48,14 @@ def test_counts_by_hand(spark, several):
     assert {(r.artifact_id, r.batch) for r in folds.select("artifact_id", F.substring("paragraph_id", 1, 2).alias("batch")).distinct().collect()} == {("x_0", "x0"), ("x_0", "x1"), ("x_2", "x2"), ("x_2", "x3"), ("y_0", "y0"), ("y_0", "y1")}
     assert {r.artifact_id: r.n for r in folds.groupBy("artifact_id").agg(F.countDistinct("fold").alias("n")).collect()} == {"x_0": 2, "x_2": 3, "y_0": 2}
     assert {r.artifact_id: r.n for r in q("created_splits").where("stream = 'test_normal_ids'").groupBy("artifact_id").agg(F.count("*").alias("n")).collect()} == {"x_0": 30, "x_2": 30, "y_0": 30}
+
+
+def test_first_rows_are_those_of_the_whole_order(spark):
+    from loomline.operators.ranking import first_rows, shuffle_rank
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("g"), F.lit("x").alias("_other"))
+    most = F.when(F.col("g") == 0, 0).when(F.col("g") == 1, 17).otherwise(5000)
+    want = shuffle_rank(df, ["g"], F.col("g"), "id", "r").where(F.col("r") < most)
+    got = first_rows(df, ["g"], F.col("g"), "id", most, "r")
+    assert sorted(got.columns) == sorted(want.columns) and sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 1017
