@@ -1,7 +1,9 @@
 """Problem 3: samples of paragraphs whose categories have target shares, with a report of those that cannot.
 
-Controlled rounding: each request's (dataset x label) table of fractional quotas becomes whole numbers by a maximum flow
-that keeps every cell, row and column sum at its floor or ceiling; then each cell takes exactly its quota, by random key.
+Water-filling gives each cell of a request's (dataset x label) table its share between its minimum and its supply, so
+that the cells add up to the sample size. Controlled rounding: these fractional quotas become whole numbers by a maximum
+flow that keeps every cell, row and column sum at its floor or ceiling and no cell above its supply; then each cell takes
+exactly its quota, by random key.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import running_total, uniform
+from loomline.llm.common import running_total, uniform, written
 
 EPSILON = 1e-9
+#: Standard deviations (and rows) a bound on keys allows beyond a quota.
+MARGIN = 8.0
 
 
 def _floor(x: float) -> int:
@@ -49,18 +53,37 @@ def max_flow(edges: dict[tuple[object, object], int], source: object, sink: obje
             left[b, a] += step
 
 
-def controlled_rounding(cells: dict[tuple[object, object], float]) -> dict[tuple[object, object], int]:
+def water_fill(targets: list[float], lows: list[float], highs: list[float], total: float) -> list[float]:
+    """Numbers in proportion to ``targets`` but each from its low to its high, adding up to ``total`` as far as these allow.
+
+    Each is level * target, held within its bounds, at the one level that gives the total. Lows stand even if they
+    exceed the total; a cell without target stays at its low.
+    """
+    low_high = [(t, lo, max(lo, hi)) for t, lo, hi in zip(targets, lows, highs)]
+    at = lambda level: [min(hi, max(lo, level * t)) for t, lo, hi in low_high]
+    # Between these levels the sum is linear.
+    turns = sorted({0.0, *(x / t for t, lo, hi in low_high if t > 0 for x in (lo, hi))})
+    below = max((x for x in turns if sum(at(x)) <= total + EPSILON), default=0.0)
+    above = min((x for x in turns if x > below), default=None)
+    if above is None:
+        return at(below)
+    a, b = sum(at(below)), sum(at(above))
+    return at(below + (above - below) * max(0.0, total - a) / (b - a)) if b > a else at(below)
+
+
+def controlled_rounding(cells: dict[tuple[object, object], float], supplies: dict[tuple[object, object], int] | None = None) -> dict[tuple[object, object], int]:
     """Whole numbers for a two-way table: every cell, row sum, column sum and the total at its floor or ceiling.
 
     The floors of the cells stand; what rows, columns and the total lack of their floors flows through cells that have
-    a fraction. First the lower bounds are met, then the total is raised to its nearest whole number.
+    a fraction and whose supply (none given: any) allows one more. First the lower bounds are met, then the total is
+    raised to its nearest whole number.
     """
     rows, columns = defaultdict(float), defaultdict(float)
     for (r, c), x in cells.items():
         rows[r] += x
         columns[c] += x
     base = {k: _floor(x) for k, x in cells.items()}
-    open_ = {k for k, x in cells.items() if x - base[k] > EPSILON}
+    open_ = {k for k, x in cells.items() if x - base[k] > EPSILON and (supplies is None or base[k] < supplies[k])}
     low_r = {r: _floor(x) - sum(v for (a, _), v in base.items() if a == r) for r, x in rows.items()}
     low_c = {c: _floor(x) - sum(v for (_, b), v in base.items() if b == c) for c, x in columns.items()}
     top_r = {r: low_r[r] + (x - _floor(x) > EPSILON) for r, x in rows.items()}
@@ -103,10 +126,13 @@ def supply(paragraphs: DataFrame, requests: DataFrame) -> DataFrame:
 def _quotas(rows: pd.DataFrame) -> pd.DataFrame:
     """Quotas of one request (a few categories)."""
     rows = rows.copy()
-    rows["wanted"] = [max(float(m), float(s) * n) for m, s, n in zip(rows.min_rows, rows.target_share, rows.sample_size)]
-    cells = {(d, int(label)): w for d, label, w in zip(rows.dataset, rows.label, rows.wanted)}
-    quota = controlled_rounding(cells)
-    rows["quota"] = [quota[d, int(label)] for d, label in zip(rows.dataset, rows.label)]
+    targets = [float(s) * n for s, n in zip(rows.target_share, rows.sample_size)]
+    lows = [float(min(m, s)) for m, s in zip(rows.min_rows, rows.supply)]
+    filled = water_fill(targets, lows, [float(x) for x in rows.supply], float(rows.sample_size.max()))
+    keys = [(d, int(label)) for d, label in zip(rows.dataset, rows.label)]
+    quota = controlled_rounding(dict(zip(keys, filled)), dict(zip(keys, (int(x) for x in rows.supply))))
+    rows["wanted"] = [max(float(m), t) for m, t in zip(rows.min_rows, targets)]
+    rows["quota"] = [quota[k] for k in keys]
     return rows
 
 
@@ -117,9 +143,11 @@ def quotas(paragraphs: DataFrame, requests: DataFrame) -> DataFrame:
     """The report: a row per request and category.
 
     Columns: request_id, seed, batch_from, batch_to, dataset, label, available, supply (available within the cap),
-    wanted (the larger of minimum and share), quota (wanted, made whole), taken (quota within supply), met. A request
-    row delivered again counts once; rows with a null dataset or label are left out, other nulls count as no minimum,
-    no share or no cap; paragraphs without label fill no category.
+    wanted (the larger of minimum and share), quota (what is taken: shares between minimum and supply, made whole, that
+    add up to the sample size where supplies allow), shortfall (how much the supply lacks of wanted), met (no shortfall).
+    What one category lacks or a minimum takes is made up by the others in proportion. A request row delivered again
+    counts once; rows with a null dataset or label are left out, other nulls count as no minimum, no share or no cap;
+    paragraphs without label fill no category.
     """
     clean = requests.select(*_REQUEST).where("request_id is not null and dataset is not null and label is not null").distinct()
     clean = clean.fillna({"min_rows": 0, "target_share": 0.0, "sample_size": 0})
@@ -128,10 +156,10 @@ def quotas(paragraphs: DataFrame, requests: DataFrame) -> DataFrame:
     capped = found.withColumn("supply", F.least("available", F.coalesce(cap, F.col("available"))))
     names = [f"{f.name} {f.dataType.simpleString()}" for f in capped.schema.fields]
     whole = capped.groupBy("request_id").applyInPandas(_quotas, ", ".join([*names, "wanted double", "quota bigint"]))
+    shortfall = F.greatest(F.col("wanted") - F.col("supply"), F.lit(0.0))
     return whole.select(
         "request_id", "seed", "batch_from", "batch_to", "dataset", "label", "available", "supply", "wanted", "quota",
-        F.least("quota", "supply").alias("taken"),
-        (F.col("supply") >= F.col("wanted") - EPSILON).alias("met"),
+        shortfall.alias("shortfall"), (shortfall <= EPSILON).alias("met"),
     )
 
 
@@ -141,13 +169,28 @@ def unmet(paragraphs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def sample(paragraphs: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, dataset, label, paragraph_id): exactly ``taken`` paragraphs of each category, those of the least keys.
+    """(request_id, dataset, label, paragraph_id): exactly ``quota`` paragraphs of each category, those of the least keys.
 
     The key is a digest of the request's seed and the paragraph's id, so row order and repeated rows do not matter.
+    Keys are uniform, so only those under a bound that holds the quota with a wide margin are moved; a category that
+    has too few under it is taken up with all its other keys, so the result is the same for any keys.
     """
-    wanted = quotas(paragraphs, requests).where("taken > 0").select("request_id", "seed", "batch_from", "batch_to", "dataset", "label", "taken")
-    rows = paragraphs.select("paragraph_id", "dataset", "label", "batch_no").where("paragraph_id is not null").distinct()
-    hit = rows.join(wanted, ["dataset", "label"]).where("batch_no between batch_from and batch_to").select("request_id", "dataset", "label", "taken", "seed", "paragraph_id").distinct()
-    keyed = hit.withColumn("key", uniform("seed", "paragraph_id"))
-    ranked = running_total(keyed, ["request_id", "dataset", "label"], "key", F.lit(1), "paragraph_id", "before")
-    return ranked.where("before < taken").select("request_id", "dataset", "label", "paragraph_id")
+    cell = ["request_id", "dataset", "label"]
+    wanted = written(quotas(paragraphs, requests).where("quota > 0").select(*cell, "seed", "batch_from", "batch_to", "quota", "available"), "quotas")
+    margin = F.col("quota") + MARGIN * F.sqrt("quota") + MARGIN
+    bounded = wanted.withColumn("bound", F.least(F.lit(1.0), margin / F.col("available")))
+    # A row per batch, so that the join is on equal keys and the rows of a data set are spread over their batches.
+    rows = paragraphs.select("paragraph_id", "dataset", "label", "batch_no").where("paragraph_id is not null")
+
+    def keyed(cells: DataFrame) -> DataFrame:
+        each = cells.where("batch_from <= batch_to").withColumn("batch_no", F.explode(F.sequence("batch_from", "batch_to"))).drop("batch_from", "batch_to", "available")
+        return rows.join(each, ["dataset", "label", "batch_no"]).withColumn("key", uniform("seed", "paragraph_id")).drop("batch_no", "seed")
+
+    near = keyed(bounded).where("key < bound").distinct()
+    enough = near.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    short = bounded.join(enough, cell, "left").where("bound < 1 and coalesce(n, 0) < quota").drop("n")
+    far = keyed(short).where("key >= bound").distinct()
+    both = near.unionByName(far).withColumn("place", F.least(F.col("key") / F.col("bound"), F.lit(1.0)))
+    # ``place`` only cuts buckets; within one the key itself is the order.
+    ranked = running_total(both, cell, "place", F.lit(1), F.struct("key", "paragraph_id"), "before")
+    return ranked.where("before < quota").select(*cell, "paragraph_id")

@@ -2,45 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.sources.shared import scratch, written  # noqa: F401
+
 #: Partial sums that one task adds up at most.
 FAN_IN = 64
 #: Buckets a group's keys are cut into for running totals.
 BUCKETS = 1024
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share (spark.checkpoint.dir; a temporary one only where that is unset, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loomline/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there, and a lost executor costs no earlier stage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) fixed by the values of ``parts``: 53 bits of their SHA-256, the same on every machine and run."""
     text = F.concat_ws("\x1f", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def running_total(df: DataFrame, group: list[str], key: str, size: Column, tie: str, alias: str, buckets: int = BUCKETS) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], key: str, size: Column, tie: Column | str, alias: str, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``alias``: the sum of ``size`` over the rows of the group whose (key, tie) come before the row's own.
 
     ``key`` is a number in [0, 1). A group is cut into buckets of the key: bucket totals are summed first (at most

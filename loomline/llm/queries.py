@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,11 @@ from pyspark.sql import functions as F
 from loomline.llm import category_sample, leakage, mixing, permanent_sample, reading_level, repeated_events, split_overlap, splitting, tokens
 from loomline.sources import table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def tokenizer() -> str:
+    """The tokenizer file of the queries: $LOOMLINE_TOKENIZER, else a usual place."""
+    return os.environ.get("LOOMLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +30,18 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return out.where("selected").select("seed", F.col("id").alias("paragraph_id"), F.round("number", 9).alias("number"), "first_load")
 
 
+def p1_sample_by_artifact(spark: SparkSession, d: str) -> DataFrame:
+    """For each artifact's own seed and that of its caps, a tenth of the paragraphs of its data set and batches, loaded in two halves of the batches."""
+    artifacts = table(spark, d, "splits_artifacts").select("artifact_id", "dataset", "seed", "batch_from", "batch_to")
+    caps = table(spark, d, "subsample_summaries").select("artifact_id", F.col("seed").alias("own"))
+    covers = artifacts.unionByName(artifacts.drop("seed").join(caps.withColumnRenamed("own", "seed"), "artifact_id"))
+    each = covers.where("seed is not null and batch_from <= batch_to").select("dataset", "seed", F.explode(F.sequence("batch_from", "batch_to")).alias("batch_no")).distinct()
+    paragraphs = table(spark, d, "paragraphs").select(F.col("paragraph_id").alias("id"), "dataset", "batch_no")
+    last = paragraphs.agg(F.max("batch_no")).first()[0] or 0
+    out = permanent_sample.grow(paragraphs.join(each, ["dataset", "batch_no"]), [(0, last // 2), (0, last)])
+    return out.where("selected").select("seed", F.col("id").alias("paragraph_id"), F.round("number", 9).alias("number"), "first_load")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_events.runs(table(spark, d, "paragraphs"))
 
@@ -44,6 +62,12 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return category_sample.quotas(table(spark, d, "paragraphs"), table(spark, d, "sample_requests")).select("request_id", "dataset", "label", "available", "supply", F.round("wanted", 6).alias("wanted"), "met")
 
 
+def p3_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """The same with what is taken of each category and what it lacks."""
+    found = category_sample.quotas(table(spark, d, "paragraphs"), table(spark, d, "sample_requests"))
+    return found.select("request_id", "dataset", "label", "supply", "quota", F.round("shortfall", 6).alias("shortfall"), "met")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "paragraphs"), table(spark, d, "backbone_limits"))
 
@@ -73,20 +97,25 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), weight=mixing.intactness("text"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), weight=mixing.intactness("text"))
 
 
 def p9_reached(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.reached(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.reached(table(spark, d, "documents"), table(spark, d, "mix_targets"), weight=mixing.intactness("text"))
+
 
+def p9_token_mix(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """The mixes by tokens of a public tokenizer."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokens.token_count("text", path or tokenizer()), mixing.intactness("text"))
 
-def p9_tokens(spark: SparkSession, d: str, path: str = TOKENIZER) -> DataFrame:
-    """The mixes with tokens for words."""
-    return mixing.reached(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokens.token_count("text", path))
+
+def p9_tokens(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """The shares reached by tokens of a public tokenizer."""
+    return mixing.reached(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokens.token_count("text", path or tokenizer()), mixing.intactness("text"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +131,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p4_found, p4_pieces, p6_found, p6_counts, p6_pairs, p8_found, p8_items, p9_found, p9_mix, p9_reached, p9_tokens, p10_found, p10_levels, p10_sources)
+    f.__name__: f for f in (p1_sample, p1_sample_by_artifact, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p3_quotas, p4_found, p4_pieces, p6_found, p6_counts, p6_pairs, p8_found, p8_items, p9_found, p9_mix, p9_reached, p9_token_mix, p9_tokens, p10_found, p10_levels, p10_sources)
 }
 
 _BARE = "regexp_replace(lower(w), '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g')"
@@ -113,6 +142,10 @@ _SAME = """len(a) = len(b) and len(list_filter(list_zip(a, b), lambda z: z[1] <>
 ORACLE_SQL: dict[str, str] = {
     "p1_sample": """with ids as (select distinct p.paragraph_id, p.batch_no, e.seed from paragraphs p join (select dataset, seed from splits_artifacts union select a.dataset, s.seed from subsample_summaries s join splits_artifacts a using (artifact_id)) e using (dataset) where e.seed is not null and p.paragraph_id is not null),
  m as (select max(batch_no) // 2 half from paragraphs), n as (select seed, paragraph_id, ('0x' || sha256(seed || chr(31) || paragraph_id)[1:13])::bigint / 4503599627370496.0 number, case when min(batch_no) <= any_value(half) then 0 else 1 end first_load from ids, m group by 1, 2)
+ select seed, paragraph_id, round(number, 9) as number, first_load from n where number < 0.1""",
+    "p1_sample_by_artifact": """with a as (select dataset, batch_from, batch_to, seed from splits_artifacts union select a.dataset, a.batch_from, a.batch_to, s.seed from subsample_summaries s join splits_artifacts a using (artifact_id)),
+ ids as (select distinct p.paragraph_id, p.batch_no, a.seed from paragraphs p join a on p.dataset = a.dataset and p.batch_no between a.batch_from and a.batch_to where a.seed is not null and p.paragraph_id is not null),
+ m as (select max(batch_no) // 2 half from paragraphs), n as (select seed, paragraph_id, ('0x' || sha256(seed || chr(31) || paragraph_id)[1:13])::bigint / 4503599627370496.0 number, case when min(batch_no) <= any_value(half) then 0 else 1 end first_load from ids, m group by 1, 2)
  select seed, paragraph_id, round(number, 9) as number, first_load from n where number < 0.1""",
     "p2_found": f"""with l as (select paragraph_id, generate_subscripts(lines, 1) - 1 i, unnest(lines) line from (select distinct on (paragraph_id) * from paragraphs) where lines is not null),
  e as (select paragraph_id, i, list_transform(list_filter(list_transform(regexp_extract_all(coalesce(line, ''), '\\S+'), lambda w: {_BARE}), lambda w: w <> ''), lambda w: case when regexp_matches(w, '[0-9]') then '#' else w end) b from l),

@@ -109,16 +109,51 @@ def request(spark, *cells, batches=(0, 3), size=60, caps=(50, 5)):
 def test_quotas_and_report(spark, paragraphs):
     asked = request(spark, ("hdfs", 0, 0.5, 0), ("hdfs", 1, 0.1, 0), ("bgl", 0, 0.4, 30))
     got = {(r.dataset, r.label): r for r in C.quotas(paragraphs, asked.union(asked)).collect()}
-    assert {k: (r.available, r.supply, r.wanted, r.quota, r.taken, r.met) for k, r in got.items()} == {
-        ("hdfs", 0): (100, 50, 30.0, 30, 30, True), ("hdfs", 1): (10, 5, 6.0, 6, 5, False), ("bgl", 0): (40, 40, 30.0, 30, 30, True),
+    # The minimum of bgl takes six rows from the rest, which share what is left in proportion.
+    assert {k: (r.available, r.supply, r.wanted, r.quota, r.shortfall, r.met) for k, r in got.items()} == {
+        ("hdfs", 0): (100, 50, 30.0, 25, 0.0, True), ("hdfs", 1): (10, 5, 6.0, 5, 1.0, False), ("bgl", 0): (40, 40, 30.0, 30, 0.0, True),
     }
     assert [tuple(r) for r in C.unmet(paragraphs, asked).collect()] == [(1, "hdfs", 1)]
     counts = Counter((r.dataset, r.label) for r in C.sample(paragraphs, asked).collect())
-    assert counts == {("hdfs", 0): 30, ("hdfs", 1): 5, ("bgl", 0): 30}
+    assert counts == {("hdfs", 0): 25, ("hdfs", 1): 5, ("bgl", 0): 30}
     first = {r.paragraph_id for r in C.sample(paragraphs, asked).collect()}
     assert first == {r.paragraph_id for r in C.sample(paragraphs.repartition(9).union(paragraphs), asked).collect()}
 
 
+def test_water_filling_meets_the_total_within_bounds():
+    random.seed(8)
+    for _ in range(300):
+        n = random.randrange(1, 7)
+        targets = [random.choice([0.0, random.random() * 50]) for _ in range(n)]
+        highs = [float(random.randrange(60)) for _ in range(n)]
+        lows = [min(h, random.choice([0.0, float(random.randrange(20))])) for h in highs]
+        total = float(random.randrange(200))
+        got = C.water_fill(targets, lows, highs, total)
+        assert all(lo - 1e-9 <= x <= hi + 1e-9 for x, lo, hi in zip(got, lows, highs))
+        most = sum(hi if t > 0 else lo for t, lo, hi in zip(targets, lows, highs))
+        assert sum(got) == pytest.approx(max(sum(lows), min(total, most)), abs=1e-6)
+        free = [x / t for x, t, lo, hi in zip(got, targets, lows, highs) if t > 0 and lo + 1e-6 < x < hi - 1e-6]
+        assert not free or max(free) - min(free) < 1e-6
+        whole = C.controlled_rounding({(i, i % 2): x for i, x in enumerate(got)}, {(i, i % 2): int(h) for i, h in enumerate(highs)})
+        assert all(lo <= whole[i, i % 2] <= hi for i, (lo, hi) in enumerate(zip(lows, highs))) and sum(whole.values()) == round(sum(got))
+
+
+@pytest.mark.parametrize("shares,size,caps,taken", [
+    ((0.5, 0.1, 0.4), 60, (50, 5), 60), ((0.9, 0.05, 0.05), 80, (50, 50), 80), ((0.5, 0.1, 0.4), 500, (1000, 1000), 150), ((1.0, 0.0, 0.0), 7, (None, None), 7),
+])
+def test_samples_have_the_size_asked_for(spark, paragraphs, shares, size, caps, taken):
+    cells = [(d, label, s, 0) for (d, label), s in zip((("hdfs", 0), ("hdfs", 1), ("bgl", 0)), shares)]
+    asked = request(spark, *cells, size=size, caps=caps)
+    assert C.quotas(paragraphs, asked).agg(F.sum("quota")).first()[0] == taken == C.sample(paragraphs, asked).count()
+
+
+def test_keys_beyond_the_bound_are_taken_up(spark, paragraphs, monkeypatch):
+    asked = request(spark, ("hdfs", 0, 0.5, 0), ("bgl", 0, 0.5, 0), size=20)
+    want = sorted(map(tuple, C.sample(paragraphs, asked).collect()))
+    monkeypatch.setattr(C, "MARGIN", -2.0)
+    assert len(want) == 20 and sorted(map(tuple, C.sample(paragraphs, asked).collect())) == want
+
+
 def test_batches_count_a_paragraph_once(spark, paragraphs):
     n = lambda a, b: C.quotas(paragraphs, request(spark, ("hdfs", 0, 0.1, 0), batches=(a, b))).first().available
     assert (n(0, 3), n(3, 3), n(1, 1), n(9, 9)) == (100, 26, 25, 0)
@@ -155,8 +190,29 @@ def test_mix_meets_shares(spark, documents):
 def test_weights_favour_clean_documents(spark):
     rows = [(i, 0, "s", "w " * 10 if i % 2 else "\N{REPLACEMENT CHARACTER} " * 10, 1) for i in range(400)]
     plan = spark.createDataFrame([(1, 0, 0, 1000, "s", 1.0, 1)], MIX)
-    picked = Counter(r.doc_id % 2 for r in mixing.mix(spark.createDataFrame(rows, DOC), plan).collect())
+    picked = Counter(r.doc_id % 2 for r in mixing.mix(spark.createDataFrame(rows, DOC), plan, weight=mixing.intactness("text")).collect())
     assert picked[1] > 3 * picked[0]
+    # Any column is a weight; null or none at all is the least.
+    odd = mixing.mix(spark.createDataFrame(rows, DOC), plan, weight=F.when(F.col("doc_id") < 100, 5.0))
+    assert sum(r.doc_id < 100 for r in odd.collect()) > 90
+
+
+def test_empty_texts_keep_to_the_repeats(spark):
+    random.seed(3)
+    for most in (0, 1, 2, 3):
+        rows = [(i, 0, "s", "w " * random.choice([0, 0, 1, 5]), 1) for i in range(40)]
+        size = sum(len(r[3].split()) for r in rows)
+        plans = spark.createDataFrame([(k, 0, 0, total, "s", 1.0, most) for k, total in enumerate((0, 1, size, 2 * size, 2 * size + 3, 9 * size))], MIX)
+        used = mixing.mix(spark.createDataFrame(rows, DOC), plans).collect()
+        assert all(0 < r.repeats <= most for r in used)
+        for k, total in enumerate((0, 1, size, 2 * size, 2 * size + 3)):
+            assert sum(r.size * r.repeats for r in used if r.mix_id == k) <= total
+
+
+def test_budgets_in_another_unit(spark, documents):
+    plan = spark.createDataFrame([(1, 0, 2, 1000, "big", 0.5, 4), (1, 0, 2, 1000, "small", 0.5, 4)], MIX)
+    words, triple = (sorted(tuple(r)[:3] for r in mixing.reached(documents, plan, size).select("mix_id", "source", "reached", "budget").collect()) for size in (None, F.length("text") * 0 + 3 * F.size(F.split(F.trim("text"), " "))))
+    assert [(a, b, 3 * c) for a, b, c in words] == triple
 
 
 def test_mix_of_nothing(spark, documents):
