@@ -76,6 +76,11 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "paragraphs"), table(spark, d, "backbone_limits"))
 
 
+def p4_token_pieces(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """The same by tokens of a public tokenizer."""
+    return splitting.split_oversized(table(spark, d, "paragraphs"), table(spark, d, "backbone_limits"), measure=tokens.word_measure(path or tokenizer()))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.found(table(spark, d, "paragraphs"), table(spark, d, "fold_splits"))
 
@@ -131,7 +136,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_sample_by_artifact, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p3_quotas, p4_found, p4_pieces, p6_found, p6_counts, p6_pairs, p8_found, p8_items, p9_found, p9_mix, p9_reached, p9_token_mix, p9_tokens, p10_found, p10_levels, p10_sources)
+    f.__name__: f for f in (p1_sample, p1_sample_by_artifact, p2_found, p2_collapsed, p3_found, p3_sample, p3_report, p3_quotas, p4_found, p4_pieces, p4_token_pieces, p6_found, p6_counts, p6_pairs, p8_found, p8_items, p9_found, p9_mix, p9_reached, p9_token_mix, p9_tokens, p10_found, p10_levels, p10_sources)
 }
 
 _BARE = "regexp_replace(lower(w), '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g')"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that are encoded at once; longer texts are cut at a space, where no token of the vocabulary reaches across.
 PIECE = 100_000
+_CACHE_WORDS, _CACHE_LENGTH = 500_000, 100
 
 
 def _counter(name: str, data: bytes):
@@ -50,6 +51,28 @@ def cut(text: str, most: int = PIECE) -> list[str]:
     return [*out, text[start:]]
 
 
+def word_measure(path: str):
+    """A maker, for each task, of a function from a word to its tokens (with the space before it), remembering the words it met."""
+    data, name = Path(path).read_bytes(), str(path)
+
+    def make():
+        count, known = _counter(name, data), {}
+
+        def measure(word: str) -> int:
+            n = known.get(word)
+            if n is None:
+                if len(known) >= _CACHE_WORDS:
+                    known.clear()
+                n = sum(map(count, cut(" " + word)))
+                if len(word) <= _CACHE_LENGTH:
+                    known[word] = n
+            return n
+
+        return measure
+
+    return make
+
+
 def token_count(text: str | Column, path: str) -> Column:
     """Tokens of a text column, null for null. The file is read here and travels with the job (a few MB)."""
     data, name = Path(path).read_bytes(), str(path)
