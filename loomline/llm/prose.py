@@ -16,7 +16,8 @@ _ITEM = re.compile(r"^\s*(?:[-*•+–]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+")
 _TAG = re.compile(r"<(/?)(\w+)[^<>]*>")
 _INLINE = frozenset("a b i u s em strong code span tt sub sup mark small font".split())
 # Abbreviations whose full stop ends no sentence.
-_SHORT = re.compile(r"\b(e\.g|i\.e|etc|cf|vs|approx|resp|fig|no|nr|dr|mr|ms|st|incl|ca|z\.b|d\.h|p\.ej|bzw|usw)\.", re.IGNORECASE)
+_SHORT = frozenset("e.g. i.e. etc. cf. vs. approx. resp. fig. no. nr. dr. mr. ms. st. incl. ca. z.b. d.h. p.ej. bzw. usw.".split())
+_BEFORE = re.compile(r"[\w.]+$")
 _END = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+")
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
 
@@ -32,6 +33,19 @@ def _is_log(line: str) -> bool:
     return bool(_LOG.match(line) or _LOG_TAIL.match(line))
 
 
+def _split(body: str) -> list[str]:
+    """A body in sentences: after their end marks, but not after an abbreviation."""
+    parts = _END.split(body)
+    out = parts[:1]
+    for x in parts[1:]:
+        before = out[-1]
+        if before.endswith(".") and (m := _BEFORE.search(before, max(0, len(before) - 8))) and m[0].lower() in _SHORT:
+            out[-1] = f"{before} {x}"
+        else:
+            out.append(x)
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """Sentences of the prose. A list entry is one; a block of a single short line without a closing mark is a heading."""
     out: list[str] = []
@@ -54,6 +68,6 @@ def sentences(text: str) -> list[str]:
         if len(plain) == 1 and not entries and not re.search(r"[.!?…:;][\"')\]»”*_]*$", body) and len(body.split()) <= 8:
             body = ""
         if body:
-            out += [x for x in _END.split(_SHORT.sub(lambda m: m[1].replace(".", ""), body)) if _WORD.search(x)]
+            out += [x for x in _split(body) if _WORD.search(x)]
         out += [x for x in entries if _WORD.search(x)]
     return out

@@ -63,18 +63,44 @@ def test_sentences(text, want):
     assert [len(s.split()) for s in prose.sentences(text)] == want
 
 
-def test_languages():
-    assert R.english("the cat was on the mat".split())
-    assert not R.english("die katze ist auf der matte und nicht im haus".split())
-    assert not R.english("le chat est sur la table avec une souris".split())
-    assert not R.english("el gato no es para los que con una mesa".split())
-    assert not R.english([])
+def test_language_is_learnt_from_labels_with_errors(spark):
+    r = random.Random(4)
+    own, other = "the cat ran to a door and it was not shut".split(), "die katze lief zur tür und sie war nicht zu".split()
+    rows = []
+    for i in range(400):
+        is_own = i % 4 > 0
+        text = " ".join(r.choice(own if is_own else other) for _ in range(30)) + "."
+        label = r.choice(["en", "EN", " eng", "en-GB"]) if is_own else "de"
+        rows.append((i, text, None if i % 50 == 7 else "en" if i % 40 == 8 else label))
+    rows += [(1000, "", "en"), (1001, None, "de"), (None, "x", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    odds = R.language_odds(df)
+    assert odds["the"] > 1 and odds["nicht"] < -1
+    got = {x.doc_id: x.english for x in R.levels(df).collect()}
+    assert all(got[i] == (i % 4 > 0) for i in range(400)) and got[1000] is False
+    assert R.language_odds(df.where("lang like 'en%'")) == {} == R.language_odds(df.drop("lang")) == R.language_odds(df.limit(0))
+    assert all(x.english for x in R.levels(df.drop("lang").where("doc_id < 9")).collect())
+
+
+def test_levels_of_a_batch_are_those_of_each_document():
+    rng = np.random.default_rng(2)
+    model = R.Model(rng.poisson(3, (50, len(R.GRID))).astype(float))
+    sizes = np.array([0, 3, 17, 1, 0, 40])
+    words, ratings = rng.integers(0, 50, sizes.sum()).astype(np.int32), np.array([np.nan, 4.0, np.nan, 1.5, 2.0, np.nan])
+    (got, spread), at = model.levels(words, sizes, ratings), 0
+    assert spread[5] < spread[0]
+    for n, rating, level in zip(sizes, ratings, got):
+        s = model.s[words[at : at + n]].astype(float).sum()
+        prior = (R.FINE - (3.0 if np.isnan(rating) else rating)) / (R.LEVEL_SPREAD if np.isnan(rating) else R.RATING_SPREAD)
+        assert abs(level - R.FINE[np.argmax(s * (R.FINE - R.GRID.mean()) - n * model.log_z - prior**2 / 2)]) < 1e-9
+        at += n
 
 
 def test_nulls_repeats_and_empty(spark):
     rows = spark.createDataFrame([(1, "A cat ran.", 0), (1, "A cat ran.", 0), (2, None, 0), (None, "x", 0), (3, "", 0), (4, "x " * 100_000, 0)], DOC)
     ratings = spark.createDataFrame([], RATING)
     out = {r.doc_id: r for r in R.levels(rows, ratings).collect()}
+    assert not R.for_specialists(rows.where("doc_id < 4")).count()
     assert set(out) == {1, 3, 4} and out[3].n_sentences == 0
     assert R.for_specialists(rows.limit(0), ratings).collect() == []
     assert R.levels(rows.limit(0)).collect() == []
