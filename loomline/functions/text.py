@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: ASCII first: one range to test for most characters. The same words as without the first branch.
 WORD = f"[!-~]++[^{SPACES}]*+|[^{SPACES}]++"
+#: The same over ASCII, where no wide class need be tested.
+_ASCII_WORD = r"[!-\x7f]++[\x00-\x08\x0e-\x1b!-\x7f]*+|[\x00-\x08\x0e-\x1b]++[\x00-\x08\x0e-\x1b!-\x7f]*+"
 ENTITY = r"(?<![A-Za-z0-9_])blk_-?[0-9]+(?![A-Za-z0-9_])"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
@@ -16,13 +18,20 @@ MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 _WORDLIKE, _PATH, _GAP = "[A-Za-z0-9#?_-]+", r"[.$/]*+w[w.$/]*+", r"\s+"
 
 
+def _is_ascii(col: Column) -> Column:
+    """Whether each character is one byte."""
+    return F.length(col) == F.octet_length(col)
+
+
 def words(col: Column | str) -> Column:
     """The words of a text, in order: runs of characters other than white space. Null stays null."""
-    return F.regexp_extract_all(col, F.lit(WORD), F.lit(0))
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(_is_ascii(col), F.regexp_extract_all(col, F.lit(_ASCII_WORD), F.lit(0))).otherwise(F.regexp_extract_all(col, F.lit(WORD), F.lit(0)))
 
 
 def word_count(col: Column | str) -> Column:
-    return F.regexp_count(col, F.lit(WORD))
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(_is_ascii(col), F.regexp_count(col, F.lit(_ASCII_WORD))).otherwise(F.regexp_count(col, F.lit(WORD)))
 
 
 def entities(col: Column | str, pattern: str = ENTITY) -> Column:
