@@ -38,10 +38,11 @@ def sized(documents: DataFrame, size: Column | None = None, weight: Column | Non
     None; null or less than 1e-3 counts as 1e-3). Texts are read here and nowhere else.
     """
     kept = documents.where("text is not null and source is not null and doc_id is not null")
-    words = word_count("text").cast("bigint")
     own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-3))
-    rows = kept.select("doc_id", "batch_no", source_key("source").alias("source"), words.alias("words"), (words if size is None else F.coalesce(size.cast("bigint"), F.lit(0))).alias("size"), own.alias("weight"))
-    return written(rows.where("source is not null").dropDuplicates(["doc_id"]), "sized")
+    sizes = [] if size is None else [F.coalesce(size.cast("bigint"), F.lit(0)).alias("size")]
+    rows = kept.select("doc_id", "batch_no", source_key("source").alias("source"), word_count("text").cast("bigint").alias("words"), own.alias("weight"), *sizes).where("source is not null")
+    once = rows.dropDuplicates(["doc_id"])
+    return written(once.withColumn("size", F.col("words")) if size is None else once, "sized")
 
 
 def budgets(once: DataFrame, targets: DataFrame) -> DataFrame:
