@@ -11,6 +11,8 @@ from loomline.sources.artifacts import load_json
 
 @dataclass(frozen=True)
 class RunConfig:
+    """The settings of a run. Where a file nests one under a section of another name, ``_PLACES`` has its path."""
+
     dataset: str = "hdfs"
     seed: int = 42
     backbone: str = SHORT_BACKBONE
@@ -18,7 +20,35 @@ class RunConfig:
     sentence_mask_ratio: float = 0.5
     token_mask_ratio: float = 0.8
     n_passes: int = 1
+    epochs: int = 1
+    max_lr: float | None = None
+    lr_grid: tuple[float, ...] = ()
     effective_batch_size: int = 32
+    physical_batch_size: int | None = None
+    gradient_accumulation_steps: int = 1
+    betas: tuple[float, ...] = ()
+    eps: float | None = None
+    weight_decay: float = 0.0
+    pct_start: float | None = None
+    anneal_strategy: str | None = None
+    div_factor: float | None = None
+    final_div_factor: float | None = None
+    three_phase: bool = False
+    epoch_1_unfrozen_layers: tuple[int, ...] = ()
+    epoch_2_unfrozen_layers: tuple[int, ...] = ()
+    epoch_3_plus_unfrozen_layers: str | None = None
+    embeddings_frozen_until_epoch: int | None = None
+    full_determinism: bool = False
+    fp16: bool = False
+    fp16_weight_divergence_threshold: float | None = None
+
+
+# Places of settings in a configuration whose last key is not the setting's name.
+_PLACES = {
+    "sentence_mask_ratio": ("masking", "sentence_ratio"),
+    "token_mask_ratio": ("masking", "token_ratio"),
+    "full_determinism": ("determinism", "hf_full_determinism"),
+}
 
 
 def load_yaml(path: str | Path) -> dict:
@@ -29,6 +59,18 @@ def load_yaml(path: str | Path) -> dict:
     return yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
 
 
+def save_yaml(data: dict, path: str | Path) -> Path:
+    """``data`` as YAML in its own order of keys, folders made as needed."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("writing YAML needs PyYAML") from e
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(yaml.safe_dump(data, sort_keys=False), encoding="utf-8")
+    return path
+
+
 def number(value: object) -> float:
     """YAML reads ``1.0e4`` as text; both come out as a float."""
     return float(value)  # type: ignore[arg-type]
@@ -83,15 +125,38 @@ def steps_per_epoch(rows: int, physical: int, accumulated: int) -> int:
     return max(1, -(-rows // (physical * accumulated)))
 
 
+def _flat(section: dict) -> dict[str, object]:
+    """All settings of a configuration by their last key, however deep; those of inner sections win."""
+    out: dict[str, object] = {k: v for k, v in section.items() if not isinstance(v, dict)}
+    for inner in section.values():
+        if isinstance(inner, dict):
+            out |= _flat(inner)
+    return out
+
+
+def _typed(kind: str, value: object) -> object:
+    """A value as the type a setting is declared with; numbers may be text."""
+    kind = kind.removesuffix(" | None")
+    if kind.startswith("tuple["):
+        each = kind[6:].split(",")[0]
+        return tuple(_typed(each, x) for x in value)  # type: ignore[union-attr]
+    return {"int": lambda x: int(number(x)), "float": number, "bool": bool, "str": str}[kind](value)
+
+
 def run_config(config: dict, decision: str | Path | None = None) -> RunConfig:
-    """Settings from the sections of a configuration; unknown keys are left out, numbers may be text."""
-    flat: dict[str, object] = {}
-    for key, value in config.items():
-        flat |= value if isinstance(value, dict) else {key: value}
-    flat["backbone"] = resolve_backbone(config, decision)
-    out = {}
-    for f in fields(RunConfig):
-        if flat.get(f.name) is not None:
-            kind = type(f.default)
-            out[f.name] = kind(number(flat[f.name])) if kind in (int, float) else flat[f.name]
+    """Settings from the sections of a configuration; unknown keys are left out, numbers may be text.
+
+    Batch sizes follow from the backbone where the file has no physical one; one that does not divide the effective
+    size raises.
+    """
+    found = _flat({k: v for k, v in config.items() if k != "backbone"})
+    for name, (section, key) in _PLACES.items():
+        value = (config.get(section) or {}).get(key)
+        if value is not None:
+            found[name] = value
+    found["backbone"] = resolve_backbone(config, decision)
+    out = {f.name: _typed(str(f.type), found[f.name]) for f in fields(RunConfig) if found.get(f.name) is not None}
+    effective = out.get("effective_batch_size", RunConfig.effective_batch_size)
+    physical = out.get("physical_batch_size") or physical_batch(out["backbone"])
+    out["physical_batch_size"], out["gradient_accumulation_steps"] = batch_sizes(effective, physical)
     return RunConfig(**out)

@@ -123,6 +123,14 @@ def window_paragraphs(parsed: DataFrame, seconds: int, dataset: str, line_no: st
     )
 
 
+def in_order(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs sorted as they appear: sessions by first mention, windows by number; others by id."""
+    for keys in (["first_line", "first_pos"], ["source_window_id"]):
+        if set(keys) <= set(paragraphs.columns):
+            return paragraphs.orderBy(*keys)
+    return paragraphs.orderBy("paragraph_id")
+
+
 def dropped_windows(windowed: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     """Windows kept and dropped for size, the latter by label."""
     small = F.col("n_lines") < least

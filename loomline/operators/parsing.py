@@ -24,6 +24,11 @@ def content_field(line: Column | str) -> Column:
     return F.regexp_replace(line, r"^\s*\S+\s+", "")
 
 
+def anomaly_field(line: Column | str) -> Column:
+    """1 for a line whose first word is a label other than NORMAL_LABEL, 0 for that one."""
+    return (F.regexp_extract(line, r"^\s*(\S+)", 1) != NORMAL_LABEL).cast("int")
+
+
 def has_replacement(line: Column | str) -> Column:
     return F.contains(F.col(line) if isinstance(line, str) else line, F.lit(REPLACEMENT))
 

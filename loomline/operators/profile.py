@@ -162,6 +162,17 @@ def own_tokens(left: DataFrame, right: DataFrame, total: Column, most: int) -> D
     return own.orderBy(F.col("n").desc(), F.col("token").desc()).limit(most).select("token", "n", ratio(F.col("n_paragraphs"), total).alias("share"))
 
 
+def shown(text: Column | str, most: int) -> Column:
+    """A text for display: what is longer than ``most`` characters ends in three full stops."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
+def first_lines(lines: Column | str, n: int = 5, most: int = 150) -> Column:
+    """The first ``n`` lines for display, each of at most ``most`` characters."""
+    return F.transform(F.slice(lines, 1, n), lambda x: F.substring(x, 1, most))
+
+
 def anomaly_positions(placed: DataFrame, least: int = 2) -> DataFrame:
     """Relative place idx / n of each anomalous line, and whether it is the first of its window (windows of ``least`` lines or more)."""
     hit = placed.where((F.col("n") >= least) & (F.col("anomaly") == 1))

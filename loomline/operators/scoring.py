@@ -80,10 +80,11 @@ def split_ids(splits: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return kept.select(*keys, "fold_id", (F.col("stream") == anomaly).cast("int").alias("class"), "pos", "paragraph_id").distinct()
 
 
-def evaluation_set(ids: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """The paragraphs of ``ids``, which are many beside few folds; order by paragraph_id for the reading order."""
+def evaluation_set(ids: DataFrame, paragraphs: DataFrame, in_order: bool = False) -> DataFrame:
+    """The paragraphs of ``ids``, which are many beside few folds; ``in_order``: sorted by paragraph_id, as they are read."""
     once = paragraphs.dropDuplicates(["paragraph_id"])
-    return ids.join(once, "paragraph_id")
+    found = ids.join(once, "paragraph_id")
+    return found.orderBy("paragraph_id") if in_order else found
 
 
 def id_faults(ids: DataFrame, paragraphs: DataFrame, keys: list[str]) -> DataFrame:

@@ -257,11 +257,11 @@ def vocabulary_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""with {_VOC}, a as (select token, cast(sum(n) as bigint) n, cast(sum(np) as bigint) np from voc where label = 1 group by 1), t as (select count(*) c from par where label = 1)
- select token, n, round(np / c, 9) as share from a, t where token not in (select token from voc where label = 0) order by n desc, token desc limit 30""")
+ select token, n, round(np / c, 9) as share from a, t where token not in (select token from voc where label = 0) order by n desc, token desc limit 30""".replace("select token, n,", "select case when length(token) > 60 then left(token, 57) || '...' else token end as token, n,"))
 def anomaly_tokens(spark: SparkSession, d: str) -> DataFrame:
     v = _vocabulary(spark, d).groupBy("label", "token").agg(F.sum("n").alias("n"), F.sum("n_paragraphs").alias("n_paragraphs"))
     total = _paragraphs(spark, d).where("label = 1").count()
-    return profile.own_tokens(v.where("label = 1"), v.where("label = 0"), F.lit(total), 30).withColumn("share", F.round("share", 9))
+    return profile.own_tokens(v.where("label = 1"), v.where("label = 0"), F.lit(total), 30).withColumns({"share": F.round("share", 9), "token": profile.shown("token", 60)})
 
 
 # ---- caps, folds, splits: for every artifact, over the paragraphs of its data set and batches
@@ -529,10 +529,10 @@ def line_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""with {_P}, r as (select dataset, paragraph_id, row_number() over (partition by dataset, label order by md5(concat_ws(':', 7, paragraph_id)), paragraph_id) r, label, lines from par where label is not null)
- select dataset, label, paragraph_id, left(coalesce(lines[1], ''), 150) first_line from r where r <= 3""")
+ select dataset, label, paragraph_id, coalesce(array_to_string(list_transform(lines[1:5], lambda x: left(x, 150)), chr(10)), '') first_lines from r where r <= 3""")
 def examples(spark: SparkSession, d: str) -> DataFrame:
     few = ranking.shuffle_rank(_paragraphs(spark, d).where("label is not null"), ["dataset", "label"], F.lit(7), "paragraph_id", "r").where("r < 3")
-    return few.select("dataset", "label", "paragraph_id", F.substring(F.coalesce(F.get("lines", 0), F.lit("")), 1, 150).alias("first_line"))
+    return few.select("dataset", "label", "paragraph_id", F.coalesce(F.array_join(profile.first_lines("lines"), "\n"), F.lit("")).alias("first_lines"))
 
 
 @_query("""with e as (select user_id, event_id seq, cast(date_part('day', ts) as double) / 2 epoch, value loss from events) select user_id, cast(round_even(epoch, 0) as int) epoch, round(arg_max(loss, seq), 6) loss from e where loss is not null group by 1, 2""")

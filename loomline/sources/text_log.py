@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_labels(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(BlockId, Label) of a CSV file with that header (spaces around names and values ignored, case not).
 
-    A wrong header raises; ``strict`` also raises for the first unknown label.
+    A wrong header raises; ``strict`` also raises for an unknown label, naming the first row of the file (the header is
+    row 1) that has it.
     """
     rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     names = {c.strip(): c for c in rows.columns}
@@ -34,5 +37,9 @@ def read_labels(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     if strict:
         bad = out.where(~F.col("Label").isin(*LABELS) | F.col("Label").isNull()).limit(1).collect()
         if bad:
-            raise ValueError(f"unknown label {bad[0].Label!r} of {bad[0].BlockId}")
+            # Only now is it worth numbering the rows; blanks may surround the values.
+            blank, value = r"^\s*", lambda x: re.escape(x or "")
+            pattern = rf"{blank}\"?\s*{value(bad[0].BlockId)}\s*\"?\s*,.*{value(bad[0].Label)}"
+            first = read_lines(spark, path).where(F.col("text").rlike(pattern)).agg(F.min("line_no")).first()[0]
+            raise ValueError(f"unknown label {bad[0].Label!r} of {bad[0].BlockId}" + ("" if first is None else f" at row {first + 1}"))
     return out

@@ -1,10 +1,10 @@
 import pytest
 
-from loomline.plans import raw_input, reference
+from loomline.plans import exchange, raw_input, reference
 from oracle import check
 
-SQL = raw_input.ORACLE_SQL | reference.ORACLE_SQL
-QUERIES = raw_input.QUERIES | reference.QUERIES
+SQL = raw_input.ORACLE_SQL | reference.ORACLE_SQL | exchange.ORACLE_SQL
+QUERIES = raw_input.QUERIES | reference.QUERIES | exchange.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -96,3 +96,33 @@ def test_ranks_of_hidden_and_seen_tokens(spark):
     masked = spark.createDataFrame([("q", 0, 0, i, t, p) for i, (t, p) in enumerate([("b", "a"), ("c", "a"), ("a", None), ("z", None), ("b", "new"), ("a", "a")])], "paragraph_id string, pass int, line_no int, pos int, token string, previous string")
     got = {r.pos: r.hit_rank for r in scoring.BigramScorer(train).rank(masked, 2).collect()}
     assert got == {0: 1, 1: 2, 2: 1, 3: None, 4: 2, 5: None}
+
+
+def test_settings_of_all_sections(tmp_path):
+    raw = {
+        "dataset": "bgl", "window_seconds": 60, "backbone": {"roberta_id": "x/roberta", "longformer_id": "y/longformer"},
+        "training": {"epochs": 3, "max_lr": "1.0e-4", "lr_grid": ["1e-5", 2], "effective_batch_size": 32, "betas": [0.9, "0.95"], "fp16": True,
+                     "lr_scheduler": {"pct_start": 0.3, "final_div_factor": "1.0e4", "anneal_strategy": "cos"},
+                     "gradual_unfreezing_schedule": {"epoch_1_unfrozen_layers": [10, 11], "epoch_3_plus_unfrozen_layers": "all", "embeddings_frozen_until_epoch": 3}},
+        "determinism": {"hf_full_determinism": True, "fp16_weight_divergence_threshold": "1e-3"}, "masking": {"sentence_ratio": 0.4, "token_ratio": "0.7"},
+    }
+    c = config.run_config(raw)
+    assert (c.backbone, c.window_seconds, c.epochs, c.max_lr, c.lr_grid, c.betas, c.fp16) == ("x/roberta", 60, 3, 1e-4, (1e-5, 2.0), (0.9, 0.95), True)
+    assert (c.final_div_factor, c.anneal_strategy, c.epoch_1_unfrozen_layers, c.epoch_3_plus_unfrozen_layers, c.embeddings_frozen_until_epoch) == (1e4, "cos", (10, 11), "all", 3)
+    assert (c.full_determinism, c.fp16_weight_divergence_threshold, c.sentence_mask_ratio, c.token_mask_ratio) == (True, 1e-3, 0.4, 0.7)
+    assert (c.physical_batch_size, c.gradient_accumulation_steps) == (8, 4) and c.three_phase is False
+    with pytest.raises(ValueError):
+        config.run_config({"training": {"max_lr": "fast"}})
+    pytest.importorskip("yaml")
+    assert config.load_yaml(config.save_yaml(raw, tmp_path / "a" / "c.yaml")) == raw
+
+
+def test_orders_and_display(spark):
+    from loomline.operators import grouping
+
+    p = spark.createDataFrame([("b", 2, 0, "x" * 61), ("a", 1, 1, "x" * 60), ("c", 1, 0, None)], "paragraph_id string, first_line int, first_pos int, t string")
+    assert [r.paragraph_id for r in grouping.in_order(p).collect()] == ["c", "a", "b"]
+    assert [r.paragraph_id for r in grouping.in_order(p.drop("first_pos")).collect()] == ["a", "b", "c"]
+    assert {r.paragraph_id: r.s for r in p.select("paragraph_id", profile.shown("t", 60).alias("s")).collect()} == {"b": "x" * 57 + "...", "a": "x" * 60, "c": None}
+    ids = spark.createDataFrame([("b",), ("a",)], "paragraph_id string")
+    assert [r.paragraph_id for r in scoring.evaluation_set(ids, p, in_order=True).collect()] == ["a", "b"]

@@ -22,8 +22,8 @@ def test_labels(spark, tmp_path):
     f = tmp_path / "l.csv"
     f.write_text("BlockId , Label\nblk_1, Normal\nblk_2 ,Anomaly \n")
     assert [tuple(r) for r in text_log.read_labels(spark, str(f)).collect()] == [("blk_1", "Normal"), ("blk_2", "Anomaly")]
-    f.write_text("BlockId,Label\nblk_1,Odd\n")
-    with pytest.raises(ValueError, match="Odd"):
+    f.write_text("BlockId,Label\nblk_0,Normal\n blk_1 , Odd \n")
+    with pytest.raises(ValueError, match="'Odd' of blk_1 at row 3"):
         text_log.read_labels(spark, str(f))
     f.write_text("blockid,label\nblk_1,Normal\n")
     with pytest.raises(ValueError, match="BlockId"):

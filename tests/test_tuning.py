@@ -8,8 +8,8 @@ from loomline.operators import segments, substitution, tuning
 
 
 def scores(spark, extra=()):
-    rows = [("f", f"n{i}", 0, k, a) for i in range(5) for k, a in ((5, 0.9), (9, 0.93), (12, 0.95))]
-    rows += [("f", f"a{i}", 1, k, a) for i in range(5) for k, a in ((5, 0.4), (9, 0.43), (12, 0.45))]
+    rows = [("f", f"n{i}", 0, k, a) for i in range(5) for k, a in ((5, 0.71), (9, 0.84), (12, 0.88))]
+    rows += [("f", f"a{i}", 1, k, a) for i in range(5) for k, a in ((5, 0.31), (9, 0.36), (12, 0.39))]
     return spark.createDataFrame([*rows, *extra], "fold_id string, paragraph_id string, label int, top_k int, accuracy double")
 
 
@@ -37,7 +37,7 @@ def test_best_cell_breaks_ties_by_k_then_threshold(spark):
 
 
 def test_threshold_is_strict(spark):
-    cells = tuning.grid(spark, [5], [0.4])
+    cells = tuning.grid(spark, [5], [0.31])
     r = tuning.grid_metrics(scores(spark), cells, ["fold_id"]).first()
     assert (r.tp, r.fp, r.tn, r.fn, r.f1, r.precision, r.specificity) == (0, 0, 5, 5, 0.0, 0.0, 1.0)
 
@@ -50,14 +50,14 @@ def test_accuracy_lookup(spark):
 
 
 def test_spread_across_folds(spark):
-    values = [0.8, 0.85, 0.82, 0.9, 0.78]
+    values = [0.25 * i * i / 4 for i in range(4)]
     df = spark.createDataFrame([("d", i, 5, 0.5, v, v, v, v) for i, v in enumerate(values)], "d string, fold_id int, top_k int, best_threshold double, precision double, recall double, f1 double, specificity double")
     r = tuning.across_folds(df, ["d"]).first()
-    mean = sum(values) / 5
-    assert r.std_f1 == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in values) / 4)) and r.n_folds == 5
+    mean = sum(values) / 4
+    assert r.std_f1 == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in values) / 3)) and r.n_folds == 4
     assert tuning.across_folds(df.limit(1), ["d"]).first().std_f1 == 0.0
     assert tuning.fold_lists(df, ["d"]).first().per_fold["f1"] == values
-    assert [r[0] for r in tuning.missing_folds(df.where("fold_id <> 3"), 5).collect()] == [3]
+    assert [r[0] for r in tuning.missing_folds(df.where("fold_id <> 3"), 4).collect()] == [3]
 
 
 def test_training_log(spark):
