@@ -44,11 +44,23 @@ def p7_broken_fields(spark: SparkSession, d: str) -> DataFrame:
     return row_faults.broken_fields(table(spark, d, "raw_rows"), _feeds(spark, d))
 
 
+def _valid(spark: SparkSession, d: str, feed: str) -> DataFrame:
+    return row_faults.valid_rows(table(spark, d, "raw_rows"), {f.name: f for f in _feeds(spark, d)}[feed])
+
+
 def p7_block_events(spark: SparkSession, d: str) -> DataFrame:
-    return row_faults.valid_rows(table(spark, d, "raw_rows"), {f.name: f for f in _feeds(spark, d)}["block_events"])
+    return _valid(spark, d, "block_events")
+
+
+def p7_ras_export(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(spark, d, "ras_export")
+
 
+def p7_block_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(spark, d, "block_labels")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_entries, p5_unreadable, p5_unresolved, p7_found, p7_counts, p7_broken_fields, p7_block_events)}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_entries, p5_unreadable, p5_unresolved, p7_found, p7_counts, p7_broken_fields, p7_block_events, p7_ras_export, p7_block_labels)}
 
 _LAYOUT_SQL = {
     "ras": (r"^(?:-|[A-Z]+) (\S{10}) \S{10} \S+ RAS \S+ (\S+) ", 1, 2, r"^\d{10}$", ""),
@@ -61,7 +73,8 @@ _LAYOUT_SQL = {
 }
 
 
-def _p5_sql() -> str:
+def _p5_sql(result: str) -> str:
+    """``result`` over g: entries with lv (level) and readable."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     kind = " ".join(f"when regexp_matches(text, {quoted(p)}) then '{k}'" for k, (p, *_) in _LAYOUT_SQL.items())
     part = lambda at: " ".join(f"when '{k}' then regexp_extract(text, {quoted(x[0])}, {x[at]})" for k, x in _LAYOUT_SQL.items())
@@ -77,13 +90,14 @@ def _p5_sql() -> str:
           coalesce(max(case when kind <> 'open' then t end), max(case when kind is null and text like '  "time":%' then regexp_extract(text, '": "(.*?)"', 1) end)) t,
           coalesce(max(case when kind <> 'open' then lv end), max(case when kind is null and text like '  "severity":%' then regexp_extract(text, '": "(.*?)"', 1) end)) lv
           from f group by 1, 2)
-    select log_file, first_line_no, last_line_no from g
-    where (case when regexp_matches(lv, '^\\d+$') then try_cast(lv as int) % 8 <= 3
-           else lv <> '' and len(list_filter(['error','severe','failure','critical','alert','emergency','fatal'], lambda w: starts_with(w, lower(lv)))) > 0 end)
-      and case kind {real} else regexp_matches(t, '{iso}') and try_strptime(left(t,19), '%Y-%m-%dT%H:%M:%S') is not null end"""
+    , r as (select *, coalesce(case when regexp_matches(lv, '^\\d+$') then try_cast(lv as int) % 8 <= 3
+           else lv <> '' and len(list_filter(['error','severe','failure','critical','alert','emergency','fatal'], lambda w: starts_with(w, lower(lv)))) > 0 end, false) severe,
+      coalesce(case kind {real} else regexp_matches(t, '{iso}') and try_strptime(left(t,19), '%Y-%m-%dT%H:%M:%S') is not null end, false) readable from g)
+    {result}"""
 
 
-def _p7_sql() -> str:
+def _p7_sql(result: str = "select * from f") -> str:
+    """``result`` over r (rows), v (their checked values) and f (row_id, reason)."""
     field = lambda d: rf'(?:"(?:[^"]|"")*"|[^"{d}]*)'
     row = lambda d, n: rf"(?s)^{field(d)}(?:{d}{field(d)}){n}$"
     value = lambda d, at: rf"(?s)^(?:{field(d)}{d}){{{at}}}({field(d)})(?:{d}|$)"
@@ -98,11 +112,29 @@ def _p7_sql() -> str:
     v as (select row_id, feed, case feed when 'ras_export' then trim({get(";", 1)}) when 'block_events' then trim({get(",", 1)}) end t,
           case feed when 'block_events' then {get(",", 5)} when 'block_labels' then {get(",", 0)} end m,
           case feed when 'block_events' then trim({get(",", 6)}) when 'block_labels' then trim({get(",", 1)}) end lab from s where whole)
-    select row_id, 'quoting' reason from s where not ok
+    , f as (select row_id, 'quoting' reason from s where not ok
     union all select row_id, 'column_count' from s where ok and not whole
     union all select row_id, 'unparseable_timestamp' from v where feed <> 'block_labels' and not (case when feed = 'ras_export' then {unix} else {unix} or {iso} end)
     union all select row_id, case when {ids} = 0 then 'no_blockid' else 'multiple_blockids' end from v where feed <> 'ras_export' and {ids} <> 1
-    union all select row_id, 'bad_label' from v where feed <> 'ras_export' and lab not in ('Normal', 'Anomaly')"""
+    union all select row_id, 'bad_label' from v where feed <> 'ras_export' and lab not in ('Normal', 'Anomaly')) {result}"""
+
+
+def _p7_valid_sql(feed: str, delimiter: str, columns: str) -> str:
+    field = rf'(?:"(?:[^"]|"")*"|[^"{delimiter}]*)'
+    raw = lambda at: rf"regexp_extract(raw, '(?s)^(?:{field}{delimiter}){{{at}}}({field})(?:{delimiter}|$)', 1)"
+    bare = lambda x: f"case when {x} like '\"%' then replace(({x})[2:-2], '\"\"', '\"') else {x} end"
+    values = ", ".join(f'{bare(raw(i))} as "{c}"' for i, c in enumerate(columns.split(",")))
+    return _p7_sql(f"select row_id, {values} from (select distinct row_id, feed, raw from r) where feed = '{feed}' and row_id not in (select row_id from f)")
 
 
-ORACLE_SQL: dict[str, str] = {"p5_found": _p5_sql(), "p7_found": _p7_sql()}
+_COUNTED = {"no_blockid": "no_blockid", "multiple_blockids": "lines_with_multiple_blockids", "unparseable_timestamp": "unparseable_timestamp", "column_count": "column_count", "quoting": "quoting", "bad_label": "bad_label"}
+
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": _p5_sql("select log_file, first_line_no, last_line_no from r where severe and readable"),
+    "p5_unreadable": _p5_sql("select log_file, count(*) n_entries, count(*) filter (not readable) unparseable_timestamp from r group by 1"),
+    "p7_found": _p7_sql(),
+    "p7_counts": _p7_sql("select feed, batch_no, count(*) total_lines_read, count(*) filter (row_id not in (select row_id from f)) valid, " + ", ".join(f"count(*) filter (row_id in (select row_id from f where reason = '{k}')) {n}" for k, n in _COUNTED.items()) + " from (select distinct row_id, feed, batch_no from raw_rows) group by 1, 2"),
+    "p7_block_events": _p7_valid_sql("block_events", ",", "seq,event_time,pid,level,component,message,label"),
+    "p7_ras_export": _p7_valid_sql("ras_export", ";", "label,unix_ts,date,node,type,component,level,message"),
+    "p7_block_labels": _p7_valid_sql("block_labels", ",", "BlockId,Label"),
+}
