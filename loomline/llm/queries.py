@@ -144,6 +144,28 @@ _BARE = "regexp_replace(lower(w), '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', '
 _SAME = """len(a) = len(b) and len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2])) <= 1 and len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2]
  and not (z[1] <> '#' and z[2] <> '#' and length(z[1]) >= 5 and length(z[2]) >= 5 and levenshtein(regexp_replace(z[1], '[^ -~]', '?', 'g'), regexp_replace(z[2], '[^ -~]', '?', 'g')) <= 2))) = 0"""
 
+_MIX = r"""with d as (select distinct on (doc_id) doc_id, batch_no, lower(trim(source)) source, len(regexp_extract_all(text, '\S+')) n, greatest(0.1, 1.0 - 20.0 * len(regexp_extract_all(text, '[\x{FFFD}ÃÂâ\x00-\x08]')) / greatest(length(text), 1)) weight from documents where text is not null and source is not null and doc_id is not null),
+ t as (select distinct mix_id, batch_from, batch_to, lower(trim(source)) source, target_share * total_words budget, greatest(coalesce(max_repeats, 1), 0) most from mix_targets where mix_id is not null and source is not null),
+ s as (select t.*, (select coalesce(sum(n), 0) from d where d.source = t.source and d.batch_no between t.batch_from and t.batch_to) supply from t),
+ e as (select *, most * supply >= budget - 1e-6 met, case when most * supply < budget - 1e-6 then most when supply > 0 then least(floor((budget + 1e-6) / supply), most) else 0 end epochs from s),
+ p as (select *, case when met and epochs < most then greatest(budget - epochs * supply, 0) else 0 end rest from e),
+ k as (select p.mix_id, p.source, p.epochs, p.rest, d.doc_id, d.n, 1 - pow(('0x' || sha256('0' || chr(31) || mix_id || chr(31) || doc_id)[1:13])::bigint / 4503599627370496.0, 1 / weight) as sort_key from p join d on d.source = p.source and d.batch_no between p.batch_from and p.batch_to),
+ o as (select *, coalesce(sum(n) over (partition by mix_id, source order by sort_key, doc_id rows between unbounded preceding and 1 preceding), 0) seen from k),
+ u as (select mix_id, source, doc_id, n as size, cast(epochs + case when rest > 0 and seen + n <= rest + 1e-6 then 1 else 0 end as int) repeats from o)"""
+_OVERLAP_SQL = """with t as (select paragraph_id, word, row_number() over (partition by paragraph_id, word) k from (select paragraph_id, unnest(regexp_extract_all(lower(line), '\\S+')[3:]) word from (select paragraph_id, unnest(lines) line from (select distinct on (paragraph_id) * from paragraphs)))),
+ n as (select paragraph_id, count(*) n from t group by 1),
+ f as (select distinct artifact_id, fold_id, stream, case when stream = 'train_normal_ids' then 'train' else 'test' end side, paragraph_id from fold_splits where stream in ('train_normal_ids', 'test_normal_ids', 'test_anomaly_ids')),
+ ids as (select distinct artifact_id, paragraph_id from f),
+ tt as (select artifact_id, paragraph_id, word, k, count(*) over (partition by artifact_id, word, k) df from t join ids using (paragraph_id)),
+ o as (select *, row_number() over (partition by artifact_id, paragraph_id order by df, word, k) r from tt),
+ pre as (select o.* from o join n using (paragraph_id) where r <= n - cast(ceil(0.8 * n - 1e-9) as bigint) + 1 and df > 1),
+ c as (select distinct a.artifact_id, a.paragraph_id a, b.paragraph_id b from pre a join pre b on a.artifact_id = b.artifact_id and a.word = b.word and a.k = b.k and a.paragraph_id < b.paragraph_id),
+ sim as (select c.artifact_id, c.a, c.b from c join t x on x.paragraph_id = c.a join t y on y.paragraph_id = c.b and y.word = x.word and y.k = x.k join n na on na.paragraph_id = c.a join n nb on nb.paragraph_id = c.b group by 1, 2, 3 having count(*) >= 0.8 * greatest(any_value(na.n), any_value(nb.n)) - 1e-9),
+ w as (select artifact_id, a, b from sim union all select artifact_id, b, a from sim union all select artifact_id, paragraph_id, paragraph_id from ids),
+ ds as (select paragraph_id, min(dataset) dataset from paragraphs group by 1),
+ m as (select x.artifact_id, x.fold_id, least(x.paragraph_id, y.paragraph_id) paragraph_id_a, greatest(x.paragraph_id, y.paragraph_id) paragraph_id_b, y.stream, y.paragraph_id, ds.dataset
+  from f x join w on w.artifact_id = x.artifact_id and w.a = x.paragraph_id join f y on y.artifact_id = x.artifact_id and y.fold_id = x.fold_id and y.paragraph_id = w.b left join ds on ds.paragraph_id = y.paragraph_id where x.side = 'train' and y.side = 'test')"""
+
 ORACLE_SQL: dict[str, str] = {
     "p1_sample": """with ids as (select distinct p.paragraph_id, p.batch_no, e.seed from paragraphs p join (select dataset, seed from splits_artifacts union select a.dataset, s.seed from subsample_summaries s join splits_artifacts a using (artifact_id)) e using (dataset) where e.seed is not null and p.paragraph_id is not null),
  m as (select max(batch_no) // 2 half from paragraphs), n as (select seed, paragraph_id, ('0x' || sha256(seed || chr(31) || paragraph_id)[1:13])::bigint / 4503599627370496.0 number, case when min(batch_no) <= any_value(half) then 0 else 1 end first_load from ids, m group by 1, 2)
@@ -166,18 +188,12 @@ ORACLE_SQL: dict[str, str] = {
  select request_id, dataset, label, available, supply, round(wanted, 6) wanted, supply >= wanted - 1e-9 met from s""",
     "p4_found": """with p as (select paragraph_id, max(1 + len(regexp_extract_all(array_to_string(lines, chr(10)), '\\S+')) + len(list_filter(lines, lambda x: x is not null))) n from paragraphs where lines is not null group by 1)
  select paragraph_id, backbone from p, backbone_limits where n > max_tokens""",
-    "p6_found": """with t as (select paragraph_id, word, row_number() over (partition by paragraph_id, word) k from (select paragraph_id, unnest(regexp_extract_all(lower(line), '\\S+')[3:]) word from (select paragraph_id, unnest(lines) line from (select distinct on (paragraph_id) * from paragraphs)))),
- n as (select paragraph_id, count(*) n from t group by 1),
- f as (select distinct artifact_id, fold_id, case when stream = 'train_normal_ids' then 'train' else 'test' end side, paragraph_id from fold_splits where stream in ('train_normal_ids', 'test_normal_ids', 'test_anomaly_ids')),
- ids as (select distinct artifact_id, paragraph_id from f),
- tt as (select artifact_id, paragraph_id, word, k, count(*) over (partition by artifact_id, word, k) df from t join ids using (paragraph_id)),
- o as (select *, row_number() over (partition by artifact_id, paragraph_id order by df, word, k) r from tt),
- pre as (select o.* from o join n using (paragraph_id) where r <= n - cast(ceil(0.8 * n - 1e-9) as bigint) + 1 and df > 1),
- c as (select distinct a.artifact_id, a.paragraph_id a, b.paragraph_id b from pre a join pre b on a.artifact_id = b.artifact_id and a.word = b.word and a.k = b.k and a.paragraph_id < b.paragraph_id),
- sim as (select c.artifact_id, c.a, c.b from c join t x on x.paragraph_id = c.a join t y on y.paragraph_id = c.b and y.word = x.word and y.k = x.k join n na on na.paragraph_id = c.a join n nb on nb.paragraph_id = c.b group by 1, 2, 3 having count(*) >= 0.8 * greatest(any_value(na.n), any_value(nb.n)) - 1e-9),
- w as (select artifact_id, a, b from sim union all select artifact_id, b, a from sim union all select artifact_id, paragraph_id, paragraph_id from ids)
- select distinct x.artifact_id, x.fold_id, least(x.paragraph_id, y.paragraph_id) paragraph_id_a, greatest(x.paragraph_id, y.paragraph_id) paragraph_id_b
- from f x join w on w.artifact_id = x.artifact_id and w.a = x.paragraph_id join f y on y.artifact_id = x.artifact_id and y.fold_id = x.fold_id and y.paragraph_id = w.b where x.side = 'train' and y.side = 'test'""",
+    "p6_found": f"{_OVERLAP_SQL} select distinct artifact_id, fold_id, paragraph_id_a, paragraph_id_b from m",
+    "p6_counts": f"{_OVERLAP_SQL} select dataset, stream, count(*) n_ids from (select distinct artifact_id, fold_id, stream, paragraph_id, dataset from m) group by 1, 2",
+    "p6_pairs": f"{_OVERLAP_SQL} select dataset, stream, count(*) n_pairs from (select distinct artifact_id, fold_id, paragraph_id_a, paragraph_id_b, stream, dataset from m) group by 1, 2",
+    "p9_mix": f"{_MIX} select * from u where repeats > 0",
+    "p9_reached": f"""{_MIX}, g as (select mix_id, source, sum(size * repeats) reached, count(*) n_documents, max(repeats) most_repeats from u where repeats > 0 group by 1, 2)
+ select mix_id, source, budget, supply, met, coalesce(reached, 0) reached, coalesce(n_documents, 0) n_documents, coalesce(most_repeats, 0) most_repeats, coalesce(reached / nullif(sum(reached) over (partition by mix_id), 0), 0) share_reached, coalesce(reached, 0) >= most * supply exhausted from p left join g using (mix_id, source)""",
     "p9_found": """with d as (select distinct on (doc_id) batch_no, lower(trim(source)) source, len(regexp_extract_all(text, '\\S+')) n from documents where text is not null and source is not null),
  t as (select distinct mix_id, batch_from, batch_to, total_words, lower(trim(source)) source, target_share, max_repeats from mix_targets)
  select mix_id, source from t where max_repeats * (select coalesce(sum(n), 0) from d where d.source = t.source and d.batch_no between t.batch_from and t.batch_to) < target_share * total_words - 1e-6""",
