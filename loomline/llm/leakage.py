@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +32,14 @@ Words = tuple[str, ...]
 def normal_words(text: str) -> list[str]:
     """Words without case, punctuation, mark-up, quote marks and list marks."""
     text = _LEAD.sub("", _LINK.sub(r"\1", strip_markup(text)))
-    return [w for x in text.lower().split() if (w := _OTHER.sub("", x))]
+    return [w for x in text.lower().split() if (w := x if x.isascii() and x.isalnum() else _OTHER.sub("", x))]
+
+
+def shingles_in(words: list[str], wanted: Container[Words], firsts: Container[str]) -> Iterator[tuple[int, Words]]:
+    """(position, shingle) of a text's shingles that are ``wanted``; ``firsts`` are the words these begin with."""
+    for at, w in enumerate(words):
+        if w in firsts and (s := tuple(words[at : at + SHINGLE])) in wanted:
+            yield at, s
 
 
 def item_words(text: str) -> list[str]:
@@ -89,13 +96,13 @@ def holds_passage(document: list[str], item: list[str], shift: int) -> bool:
 def _shingle_counts(documents: DataFrame, vocabulary: set[Words]) -> dict[Words, int]:
     """Documents of the whole corpus that hold each shingle of the items (a table as large as the items)."""
     ids = {s: i for i, s in enumerate(sorted(vocabulary))}
+    firsts = {s[0] for s in vocabulary}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter[int] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                w = normal_words(text)
-                own.update({ids[s] for s in zip(*(w[i:] for i in range(SHINGLE))) if s in ids})
+                own.update({ids[s] for _, s in shingles_in(normal_words(text), ids, firsts)})
         yield pa.RecordBatch.from_pydict({"shingle": pa.array(own.keys(), pa.int32()), "n": pa.array(own.values(), pa.int64())})
 
     got = documents.select("text").mapInArrow(count, "shingle int, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -131,13 +138,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     for block in _blocks(items):
         vocabulary = {tuple(w[i : i + SHINGLE]) for w in block.values() for i in range(len(w) - SHINGLE + 1)}
         index = prefix_index(block, _shingle_counts(kept, vocabulary))
+        firsts = {s[0] for s in index}
 
-        def find(batches: Iterator[pa.RecordBatch], index=index, block=block) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], index=index, block=block, firsts=firsts) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 docs, found = [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     w = normal_words(text)
-                    shifts = {(item, at - i) for at, s in enumerate(zip(*(w[k:] for k in range(SHINGLE)))) if s in index for item, i in index[s]}
+                    shifts = {(item, at - i) for at, s in shingles_in(w, index, firsts) for item, i in index[s]}
                     hit: set[int] = set()
                     for item, shift in sorted(shifts):
                         if item not in hit and holds_passage(w, block[item], shift):
