@@ -14,8 +14,8 @@ _ASCII_WORD = r"[!-\x7f]++[\x00-\x08\x0e-\x1b!-\x7f]*+|[\x00-\x08\x0e-\x1b]++[\x
 ENTITY = r"(?<![A-Za-z0-9_])blk_-?[0-9]+(?![A-Za-z0-9_])"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
-#: Shape classes: a run of letters, digits and the marks that stand in for lost digits is one ``w``, and so is a path of such runs.
-_WORDLIKE, _PATH, _GAP = "[A-Za-z0-9#?_-]+", r"[.$/]*+w[w.$/]*+", r"\s+"
+#: Shape classes: a run of letters, digits, the marks that stand in for lost digits and those within paths is one ``w``.
+_WORDLIKE, _GAP = "[A-Za-z0-9#?_.$/-]++", r"\s++"
 
 
 def _is_ascii(col: Column) -> Column:
@@ -40,9 +40,9 @@ def entities(col: Column | str, pattern: str = ENTITY) -> Column:
 
 
 def shape(col: Column | str, fields: int) -> Column:
-    """The shape of a line's first ``fields`` fields: words and paths of words as ``w``, gaps as one space, other marks kept."""
+    """The shape of a line's first ``fields`` fields: words and paths as ``w``, gaps as one space, other marks kept."""
     head = F.regexp_extract(col, rf"^(?:\s*+\S++){{0,{fields}}}", 0)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(head, _WORDLIKE, "w"), _PATH, "w"), _GAP, " ")
+    return F.regexp_replace(F.regexp_replace(head, _WORDLIKE, "w"), _GAP, " ")
 
 
 def real_time(digits: Column) -> Column:

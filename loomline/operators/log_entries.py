@@ -128,18 +128,28 @@ def _fields(rule: Column, text: Column, parts: Column, fits: Column) -> dict[str
     return out
 
 
-def attach(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def _begins(rule: Column, text: Column) -> Column:
+    """Whether a line of this rule begins an entry: its layout's own pattern must fit too."""
+    fits = F.lit(False)
+    for x in LAYOUTS:
+        fits = F.when(rule == x.name, text.rlike(x.line)).otherwise(fits)
+    return F.coalesce(rule.isin("json", "open") | fits, F.lit(False))
+
+
+def attach(lines: DataFrame, block_lines: int = BLOCK_LINES, starts: DataFrame | None = None) -> DataFrame:
     """Adds ``first_line_no``: that of the entry each line belongs to, null before a file's first entry.
 
     ``lines`` has log_file, line_no and begins. Within a block the last beginning so far is taken; what a block
-    begins with comes from the blocks before it, through one row per block.
+    begins with comes from the blocks before it, through one row per block. ``starts``: the same three columns, where
+    they come cheaper than with ``lines``.
     """
     block = F.floor(F.col("line_no") / block_lines)
     own = Window.partitionBy("log_file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("block", block).withColumn("own", F.max(F.when(F.col("begins"), F.col("line_no"))).over(own))
     before = Window.partitionBy("log_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        lines.withColumn("block", block)
+        (lines if starts is None else starts)
+        .withColumn("block", block)
         .groupBy("log_file", "block")
         .agg(F.max(F.when(F.col("begins"), F.col("line_no"))).alias("last"))
         .select("log_file", "block", F.max("last").over(before).alias("carried"))
@@ -160,10 +170,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     source = lines.select(F.col("log_file"), F.col("line_no"), F.col("text")).where("log_file is not null and line_no is not null")
     rule, text = F.col("rule"), F.col("text")
     # Each line meets its layout's pattern once, in a step of its own.
-    cut = _resolved(source).withColumn("_parts", _parts(rule, text))
+    known = _resolved(source)
+    cut = known.withColumn("_parts", _parts(rule, text))
     fits = F.coalesce(F.size("_parts") > len(_FIELDS), F.lit(False))
     begins = F.coalesce(rule.isin("json", "open"), F.lit(False)) | fits
-    return attach(cut.withColumns({"begins": begins} | _fields(rule, text, F.col("_parts"), fits)).drop("_parts"))
+    starts = known.select("log_file", "line_no", _begins(rule, text).alias("begins"))
+    return attach(cut.withColumns({"begins": begins} | _fields(rule, text, F.col("_parts"), fits)).drop("_parts"), starts=starts)
 
 
 def entries(lines: DataFrame) -> DataFrame:
