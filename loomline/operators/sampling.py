@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.ranking import first_rows, shuffle_rank
+from loomline.sources.shared import written
 
 # What is added to a seed for each stream.
 CAP_ANOMALY, TRAIN, TUNE_NORMAL, TUNE_ANOMALY, TEST_ANOMALY = 1000, 0, 2000, 3000, 4000
+#: Groups whose plan is broadcast at most (a few MB).
+MAX_BROADCAST_GROUPS = 50_000
 BUDGETS = ("train_normal_per_fold", "tune_normal_per_fold", "tune_anomaly_per_fold", "test_anomaly_per_fold")
 
 
@@ -30,7 +33,7 @@ def capped(paragraphs: DataFrame, caps: DataFrame, group: list[str]) -> DataFram
     """
     small = F.least(F.col("max_normal"), F.col("max_anomaly"))
     checked = caps.withColumn("max_normal", F.when(small < 0, F.raise_error(F.lit("a cap is negative"))).otherwise(F.col("max_normal")))
-    joined = paragraphs.where("label is not null").join(checked.select(*group, "seed", "max_normal", "max_anomaly"), group)
+    joined = paragraphs.where("label is not null").join(_small(checked.select(*group, "seed", "max_normal", "max_anomaly")), group)
     seed = F.col("seed") + F.when(F.col("label") == 1, CAP_ANOMALY).otherwise(0)
     cap = F.when(F.col("label") == 0, F.col("max_normal")).otherwise(F.col("max_anomaly"))
     return first_rows(joined, [*group, "label"], seed, "paragraph_id", F.coalesce(cap, F.lit(2**62)), "_rank").drop("_rank", "seed", "max_normal", "max_anomaly")
@@ -44,15 +47,17 @@ def cap_summary(paragraphs: DataFrame, caps: DataFrame, group: list[str]) -> Dat
     return counts.select(*group, "input_normal", "input_anomaly", *(out(k).alias(f"output_{k}") for k in ("normal", "anomaly")), *((out(k) < F.col(f"input_{k}")).alias(f"{k}_was_capped") for k in ("normal", "anomaly")))
 
 
-def assign_folds(paragraphs: DataFrame, plan: DataFrame, group: list[str]) -> DataFrame:
+def assign_folds(paragraphs: DataFrame, plan: DataFrame, group: list[str], sizes: DataFrame | None = None) -> DataFrame:
     """Normal paragraphs with ``fold``: their place in the seeded order modulo the number of folds.
 
-    ``plan``: group, seed, n_folds. Fewer than two folds raise.
+    ``plan``: group, seed, n_folds. Fewer than two folds raise. ``sizes``: group, _n0 (its normal paragraphs), where known.
     """
     checked = plan.select(*group, "seed", F.when(F.col("n_folds") < 2, F.raise_error(F.lit("folds need to be two or more"))).otherwise(F.col("n_folds")).alias("n_folds"))
-    normal = paragraphs.where("label = 0").join(checked, group)
-    ranked = shuffle_rank(normal, group, F.col("seed"), "paragraph_id", "_rank")
-    return ranked.withColumn("fold", (F.col("_rank") % F.col("n_folds")).cast("int")).drop("_rank")
+    normal = paragraphs.where("label = 0").join(_small(checked), group)
+    if sizes is not None:
+        normal = normal.join(_small(sizes), group)
+    ranked = shuffle_rank(normal, group, F.col("seed"), "paragraph_id", "_rank", None if sizes is None else F.col("_n0"))
+    return ranked.withColumn("fold", (F.col("_rank") % F.col("n_folds")).cast("int")).drop("_rank", "_n0")
 
 
 def shares(pool: Column, a: Column, b: Column) -> tuple[Column, Column]:
@@ -65,43 +70,52 @@ def shares(pool: Column, a: Column, b: Column) -> tuple[Column, Column]:
 def _carve(pool: DataFrame, key: list[str], offsets: tuple[int, int], streams: tuple[str, str]) -> DataFrame:
     """Two disjoint streams of each fold's pool: the first ``_first`` of one order, then the first ``_second`` of another without those."""
     seeds = [_seed(x, F.col("fold_id")) for x in offsets]
-    one = first_rows(pool, key, seeds[0], "paragraph_id", F.col("_first"), "pos").select(*key, "pos", "paragraph_id")
+    size = F.col("_pool")
+    one = written(first_rows(pool, key, seeds[0], "paragraph_id", F.col("_first"), "pos", size).select(*key, "pos", "paragraph_id"), "stream")
     # Of the first rows of the other order at most _first are taken, so there are enough among these.
-    near = first_rows(pool, key, seeds[1], "paragraph_id", F.col("_first") + F.col("_second"), "_at").drop("_at")
+    near = first_rows(pool, key, seeds[1], "paragraph_id", F.col("_first") + F.col("_second"), "_at", size).drop("_at")
     rest = near.join(one.select(*key, "paragraph_id"), [*key, "paragraph_id"], "left_anti")
-    two = first_rows(rest, key, seeds[1], "paragraph_id", F.col("_second"), "pos").select(*key, "pos", "paragraph_id")
+    two = first_rows(rest, key, seeds[1], "paragraph_id", F.col("_second"), "pos", size).select(*key, "pos", "paragraph_id")
     return one.select(F.lit(streams[0]).alias("stream"), "*").unionByName(two.select(F.lit(streams[1]).alias("stream"), "*"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast, if it has at most MAX_BROADCAST_GROUPS rows; as it is (for a shuffle), if more."""
+    rows = df.limit(MAX_BROADCAST_GROUPS + 1).collect()
+    return df if len(rows) > MAX_BROADCAST_GROUPS else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def create_splits(paragraphs: DataFrame, plan: DataFrame, group: list[str]) -> DataFrame:
     """Folds in long form: group, fold_id, seed, stream, pos, paragraph_id.
 
     ``plan``: group, seed, n_folds and the four budgets. A fold's test normals are its own part, in input order (ord);
-    its training and tuning normals come from the other parts, its anomalies from all of them.
+    its training and tuning normals come from the other parts, its anomalies from all of them. What several folds read
+    is written to the shared folder once.
     """
-    narrow = paragraphs.select(*group, "paragraph_id", "label", "ord")
+    narrow = written(paragraphs.where("label is not null").select(*group, "paragraph_id", "label", "ord"), "labelled")
     low = F.least(*BUDGETS)
     checked = F.when(low < 0, F.raise_error(F.lit("a budget is negative"))).otherwise(F.col(BUDGETS[0]))
     # Sizes are counted per group; those of folds follow from them.
     sizes = narrow.groupBy(*group).agg(F.count_if(F.col("label") == 0).alias("_n0"), F.count_if(F.col("label") == 1).alias("_n1"))
-    budgets = plan.select(*group, "seed", "n_folds", *BUDGETS).withColumn(BUDGETS[0], checked).join(sizes, group)
+    budgets = _small(plan.select(*group, "seed", "n_folds", *BUDGETS).withColumn(BUDGETS[0], checked).join(sizes, group))
     folds = F.explode(F.sequence(F.lit(0), (F.col("n_folds") - 1).cast("int"))).alias("fold_id")
     key = [*group, "fold_id"]
     own = F.floor((F.col("_n0") - F.col("fold_id") + F.col("n_folds") - 1) / F.col("n_folds"))
 
-    def pools(size: Column, names: tuple[str, str]) -> DataFrame:
-        """Per fold: its seed and what its two streams take."""
+    def drawn(rows: DataFrame, size: Column, names: tuple[str, str]) -> DataFrame:
+        """``rows`` of each fold with its seed and what its two streams take; joined before folds are told apart."""
         first, second = shares(F.col("_pool"), *map(F.col, names))
-        return budgets.select("*", folds).withColumn("_pool", size).select(*key, "seed", first.alias("_first"), second.alias("_second"))
+        each = rows.join(budgets, group).select("*", folds).withColumn("_pool", size)
+        return each.withColumns({"_first": first, "_second": second})
 
-    placed = assign_folds(narrow, plan, group).select(*group, "paragraph_id", "ord", "fold")
-    others = placed.drop("ord").join(pools(F.col("_n0") - own, BUDGETS[:2]), group).where("fold <> fold_id").drop("fold")
+    placed = written(assign_folds(narrow, plan, group, sizes=budgets.select(*group, "_n0")).select(*group, "paragraph_id", "ord", "fold"), "folds")
+    needed = (*key, "paragraph_id", "seed", "_pool", "_first", "_second")
+    others = drawn(placed.drop("ord"), F.col("_n0") - own, BUDGETS[:2]).where("fold <> fold_id").select(*needed)
     normal = _carve(others, key, (TRAIN, TUNE_NORMAL), ("train_normal_ids", "tune_normal_ids"))
-    pool = narrow.where("label = 1").select(*group, "paragraph_id").join(pools(F.col("_n1"), BUDGETS[2:]), group)
+    pool = drawn(narrow.where("label = 1").select(*group, "paragraph_id"), F.col("_n1"), BUDGETS[2:]).select(*needed)
     anomaly = _carve(pool, key, (TUNE_ANOMALY, TEST_ANOMALY), ("tune_anomaly_ids", "test_anomaly_ids"))
     test = placed.select(F.lit("test_normal_ids").alias("stream"), *group, F.col("fold").alias("fold_id"), F.col("ord").alias("pos"), "paragraph_id")
-    seeds = plan.select(*group, F.col("seed").alias("_seed"))
-    out = normal.unionByName(anomaly).unionByName(test).join(seeds, group)
+    out = normal.unionByName(anomaly).unionByName(test).join(budgets.select(*group, F.col("seed").alias("_seed")), group)
     return out.select(*key, (F.col("_seed") + F.col("fold_id")).alias("seed"), "stream", "pos", "paragraph_id")
 
 

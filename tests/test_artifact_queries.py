@@ -59,3 +59,6 @@ def test_first_rows_are_those_of_the_whole_order(spark):
     got = first_rows(df, ["g"], F.col("g"), "id", most, "r")
     assert sorted(got.columns) == sorted(want.columns) and sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 1017
+    for size in (F.lit(1), F.lit(3 << 18)):
+        again = first_rows(df, ["g"], F.col("g"), "id", most, "r", size)
+        assert sorted(map(tuple, again.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
