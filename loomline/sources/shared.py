@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 _local: list[str] = []
 
 
-def _base(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, else that of setCheckpointDir. Where neither is set: a temporary one in local mode, an error on a cluster."""
+def _named(spark: SparkSession) -> str | None:
+    """The folder of spark.checkpoint.dir, else that of setCheckpointDir, if any."""
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
+def _base(spark: SparkSession) -> str:
+    """The folder named; where none is: a temporary one in local mode, an error on a cluster."""
+    context, base = spark.sparkContext, _named(spark)
     if not base:
         if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")

@@ -23,6 +23,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from loomline.sources import shared
+
+    shared.clean(session)
     session.stop()
 
 

@@ -73,3 +73,19 @@ def test_json_files(spark, tmp_path):
     assert artifacts.target_file("out", "g.json").name == "g.json" and artifacts.target_file("a.json", "g.json").name == "a.json"
     artifacts.write_table(spark.range(3).withColumn("split", F.lit("t")), str(tmp_path / "t"), ["split"])
     assert artifacts.file_digests(spark, str(f)).count() == 1
+
+
+def test_intermediate_tables_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    from loomline.sources import shared
+
+    monkeypatch.setattr(shared, "_named", lambda _: f"{tmp_path}/named/")
+    kept, own = shared.written(spark.range(5), "numbers"), tmp_path / "named" / "loomline" / spark.sparkContext.applicationId
+    assert kept.count() == 5 and list(own.glob("numbers-*"))
+    shared.clean(spark)
+    assert not own.exists()
+    monkeypatch.setattr(shared, "_named", lambda _: None)
+    monkeypatch.setattr(shared, "_local", [str(tmp_path)])
+    assert shared.scratch(spark, "x").startswith(f"{tmp_path}/loomline/")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.scratch(spark, "x")
