@@ -127,6 +127,18 @@ def _p7_valid_sql(feed: str, delimiter: str, columns: str) -> str:
     return _p7_sql(f"select row_id, {values} from (select distinct row_id, feed, raw from r) where feed = '{feed}' and row_id not in (select row_id from f)")
 
 
+def _p7_broken_sql(feeds: dict[str, tuple[str, int]]) -> str:
+    """The first field after which no row prefix of whole fields ends, by feed; the one behind the last if all do."""
+
+    def first(delimiter: str, n: int) -> str:
+        field = rf'(?:"(?:[^"]|"")*"|[^"{delimiter}]*)'
+        ends = lambda k: rf"regexp_matches(raw, '(?s)^{field}(?:{delimiter}{field}){{{k - 1}}}(?:{delimiter}|$)')"
+        return "case " + " ".join(f"when not {ends(k)} then {k}" for k in range(1, n + 1)) + f" else {n + 1} end"
+
+    kinds = " ".join(f"when '{feed}' then {first(*x)}" for feed, x in feeds.items())
+    return _p7_sql(f"select row_id, feed, cast(case feed {kinds} end as int) broken_field, reason from (select distinct row_id, feed, raw from r) join f using (row_id) where reason in ('quoting', 'column_count')")
+
+
 _COUNTED = {"no_blockid": "no_blockid", "multiple_blockids": "lines_with_multiple_blockids", "unparseable_timestamp": "unparseable_timestamp", "column_count": "column_count", "quoting": "quoting", "bad_label": "bad_label"}
 
 ORACLE_SQL: dict[str, str] = {
@@ -134,6 +146,7 @@ ORACLE_SQL: dict[str, str] = {
     "p5_unreadable": _p5_sql("select log_file, count(*) n_entries, count(*) filter (not readable) unparseable_timestamp from r group by 1"),
     "p7_found": _p7_sql(),
     "p7_counts": _p7_sql("select feed, batch_no, count(*) total_lines_read, count(*) filter (row_id not in (select row_id from f)) valid, " + ", ".join(f"count(*) filter (row_id in (select row_id from f where reason = '{k}')) {n}" for k, n in _COUNTED.items()) + " from (select distinct row_id, feed, batch_no from raw_rows) group by 1, 2"),
+    "p7_broken_fields": _p7_broken_sql({"ras_export": (";", 8), "block_events": (",", 7), "block_labels": (",", 2)}),
     "p7_block_events": _p7_valid_sql("block_events", ",", "seq,event_time,pid,level,component,message,label"),
     "p7_ras_export": _p7_valid_sql("ras_export", ";", "label,unix_ts,date,node,type,component,level,message"),
     "p7_block_labels": _p7_valid_sql("block_labels", ",", "BlockId,Label"),

@@ -359,10 +359,14 @@ def evaluation_faults(spark: SparkSession, d: str) -> DataFrame:
     return scoring.id_faults(_test_ids(spark, d), table(spark, d, "paragraphs"), ["artifact_id"]).drop("missing", "repeated")
 
 
-@_query()
+@_query(f"""with {_FS}, i as (select artifact_id, fold_id, paragraph_id, count(*) k from fs where stream in ('test_normal_ids', 'test_anomaly_ids') group by 1, 2, 3),
+ m as (select *, case when paragraph_id not in (select paragraph_id from paragraphs) then paragraph_id end lost, case when k > 1 then paragraph_id end twice from i)
+ select artifact_id, fold_id, array_to_string((list(lost order by lost) filter (lost is not null))[1:5], ' ') missing, array_to_string((list(twice order by twice) filter (twice is not null))[1:5], ' ') repeated from m group by 1, 2""")
 def evaluation_fault_ids(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the first ids of each kind."""
-    return scoring.id_faults(_test_ids(spark, d), table(spark, d, "paragraphs"), ["artifact_id"])
+    """The first ids of each kind of fault."""
+    found = scoring.id_faults(_test_ids(spark, d), table(spark, d, "paragraphs"), ["artifact_id"])
+    text = lambda c: F.nullif(F.array_join(c, " "), F.lit("")).alias(c)
+    return found.select("artifact_id", "fold_id", text("missing"), text("repeated"))
 
 
 # ---- masks, scores, operating points
