@@ -59,9 +59,10 @@ def language_odds(documents: DataFrame, language: str = LANGUAGE) -> dict[str, f
     if "lang" not in documents.columns:
         return {}
     label = F.lower(F.trim("lang"))
-    labelled = documents.where("doc_id is not null and text is not null").select("doc_id", "text", label.alias("label")).where("label <> ''")
+    labelled = documents.select("doc_id", "text", label.alias("label")).where("doc_id is not null and label <> ''")
+    # Counted without the texts, which this way are not read for it.
     n = labelled.agg(F.count(F.lit(1))).first()[0]
-    chosen = labelled.where(uniform("doc_id") < LANGUAGE_SAMPLE / max(n, 1)).select("text", F.startswith("label", F.lit(language)).alias("own"))
+    chosen = labelled.where((uniform("doc_id") < LANGUAGE_SAMPLE / max(n, 1)) & F.col("text").isNotNull()).select("text", F.startswith("label", F.lit(language)).alias("own"))
     counts = chosen.mapInArrow(_label_counts, "word string, own bigint, other bigint").groupBy("word").agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
     rows = counts.orderBy((F.col("own") + F.col("other")).desc(), "word").limit(LANGUAGE_WORDS).collect()
     all_ = next((r for r in rows if r.word == ""), None)
